@@ -32,7 +32,7 @@ BROADCAST_IDS = 500_000
 #: Quantile 1 - 1e-6 of chi-squared with six degrees of freedom, and the MCD's consistency factor at H = 0.75 for six.
 CUTOFF, CONSISTENCY = 38.26, 1.36
 FEATURES = ("f_length", "f_symbol", "f_line", "f_repeat", "f_upper", "f_mark")
-FLOOR = (0.10, 0.35, 0.08, 0.06, 0.35, 0.35)
+FLOOR = (0.08, 0.25, 0.06, 0.05, 0.25, 0.25)
 
 
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
