@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -39,22 +40,6 @@ def texts(docs: DataFrame, *keep: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"), *keep)
 
 
-def by_row(schema: str, make: Callable[[], Callable[[tuple], Iterator[tuple]]]) -> Callable:
-    """A mapInArrow function out of one on rows. make() runs once a task; a string column arrives as str, others as Python values."""
-
-    arrow = arrow_schema(schema)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        each = make()
-        for batch in batches:
-            for part in slices(batch):
-                rows = [out for row in zip(*(c.to_pylist() for c in part.columns), strict=True) for out in each(row)]
-                if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), arrow.types, strict=True)], schema=arrow)
-
-    return run
-
-
 _TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "array<long>": pa.list_(pa.int64()), "array<int>": pa.list_(pa.int32()), "array<string>": pa.list_(pa.string())}
 
 
@@ -93,3 +78,37 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
             break
         last = tuple(now)
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+
+
+#: Bits of a Bloom filter: 16 MB, whatever the input.
+BLOOM = 1 << 27
+
+
+def _bloom_bits(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two bits for each 64-bit value."""
+    x = x.view(np.uint64)
+    x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    x ^= x >> np.uint64(32)
+    return x & np.uint64(BLOOM - 1), (x >> np.uint64(32)) & np.uint64(BLOOM - 1)
+
+
+def bloom(values: DataFrame) -> np.ndarray:
+    """The filter of a column of longs, as bytes. Its parts come as words with their bits set, at most BLOOM / 64 rows."""
+    schema = arrow_schema("word long, bits long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.concatenate(_bloom_bits(batch.column(0).to_numpy()))
+            word, value = (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63))
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], schema=schema)
+
+    words = values.mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out = np.zeros(BLOOM // 64, np.int64)
+    out[words["word"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(np.uint8)
+
+
+def in_bloom(filter_: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Whether the filter holds each value: always where it was put in, rarely else."""
+    bits = (filter_[b >> np.uint64(3)] >> (b & np.uint64(7)).astype(np.uint8) for b in _bloom_bits(x))
+    return (next(bits) & next(bits) & 1).view(bool)

@@ -4,7 +4,7 @@ A document's set: its distinct shingles of five words, as 64-bit hashes; two doc
 least 0.8, tested in integers. Equal sets are one node, named by their smallest doc_id, whatever the number of copies.
 
 1. Routing. Documents that link share a token of their prefixes, the first |x| - ceil(0.8 |x|) + 1 of a fixed order:
-   by hash, but tokens that many documents were seen to hold (heavy hitters) last. The order is a matter of speed only.
+   by hash, but those that a Bloom filter of the frequent tokens holds last. Any order that all share is correct.
    Every token's list of nodes is an inverted list. Short lists (up to SHORT nodes) give weighted pairs, of which those
    stay that share enough prefix tokens to reach the similarity at all. A long list ties its nodes to its smallest one,
    a star, never all pairs. The components of these ties are blocks: no link leaves its block.
@@ -15,8 +15,9 @@ least 0.8, tested in integers. Equal sets are one node, named by their smallest
    the nodes still outside are the query set that meets every part.
 3. Groups. Links, at most a few per query, go through distributed connected components.
 
-Scale: nothing about documents reaches the driver, but heavy hitters (at most MAX_HOT) and counts. Sets are shipped only
-for documents that have a candidate. Lists are streamed from sorted partitions; memory is bounded by SHORT, a part's
+Scale: nothing about documents reaches the driver, but counts and the Bloom filter of fixed size. As frequent tokens come
+last, a long list holds only documents that are made of frequent tokens by four fifths: large groups of near copies, not
+all that share a passage. Sets are shipped only for documents that have a candidate. Lists are streamed from sorted partitions; memory is bounded by SHORT, a part's
 tokens, and one text.
 
 Edge cases: null or empty texts and texts without words have an empty set and link with nothing; with fewer than five
@@ -27,6 +28,7 @@ doc_id are linked, since a component is named by doc_id; other columns are ignor
 from __future__ import annotations
 
 import itertools
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,12 +37,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, components, slices, stored
+from .common import arrow_schema, bloom, components, in_bloom, slices, stored
 
 N = 5
-SHORT, BLOCK_TOKENS = 24, 6_000_000
-#: A token that one task sees in LOCAL documents is reported; one reported from HOT documents is heavy. At most MAX_HOT are kept, the heaviest.
-LOCAL, HOT, MAX_HOT = 4, 24, 1_000_000
+SHORT, BLOCK_TOKENS = 24, 2_500_000
 #: Queries that look for a block's main group.
 FIRST = 6
 #: Ids up to so many are broadcast (8 bytes each) rather than shuffled with the texts.
@@ -56,61 +56,106 @@ def needed(a: int, b: int) -> int:
     return -(-4 * (a + b) // 9)
 
 
+_SHIFT, _FINISH = np.uint64(32), np.uint64(0xBF58476D1CE4E5B9)
+_FACTOR = 0x9E3779B97F4A7C15
+_SPACE = np.isin(np.arange(256), list(b" \t\n\x0b\x0c\r"))
+#: A random number for each byte; upper case counts as lower case, white space as nothing.
+_BYTE = np.random.default_rng(5).integers(1, 1 << 63, 256, dtype=np.uint64) << np.uint64(1) | np.uint64(1)
+_BYTE[65:91] = _BYTE[97:123]
+_BYTE[_SPACE] = 0
+_PIECE = 1 << 20
+
+
 class Shingler:
-    """Sets of word shingles as sorted unsigned 64-bit hashes."""
+    """Sets of word shingles as sorted unsigned 64-bit hashes. Words are hashed a piece of text at a time, as differences of a running sum."""
 
-    MIX = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD)
+    MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xFF51AFD7ED558CCD], np.uint64)
 
     def __init__(self) -> None:
-        self.hashes: dict[bytes, int] = {}
-
-    def words(self, text: bytes) -> np.ndarray:
-        known, words = self.hashes, text.lower().split()
-        if len(known) > 1_000_000:
-            known.clear()
-        out = list(map(known.get, words))
-        if None in out:
-            for i, w in enumerate(words):
-                if out[i] is None:
-                    out[i] = known[w] = xxhash.xxh3_64_intdigest(w)
-        return np.array(out, np.uint64)
+        self._reach(1 << 16)
+
+    def _reach(self, n: int) -> None:
+        powers = lambda x: np.multiply.accumulate(np.r_[np.uint64(1), np.full(n, x, np.uint64)])
+        self.up, self.down = powers(_FACTOR), powers(pow(_FACTOR, -1, 1 << 64))
+
+    def words(self, data: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the words, and where they start."""
+        hashes, starts, at = [], [], 0
+        while at < len(data):
+            end = at + _PIECE
+            if end < len(data) and (m := _GAP.search(data, end)):
+                end = m.start()
+            else:
+                end = len(data)
+            x = np.frombuffer(data, np.uint8, end - at, at)
+            if len(x) >= len(self.up):
+                self._reach(len(x))
+            inside = ~_SPACE[x]
+            edge = np.flatnonzero(np.diff(np.r_[False, inside, False].view(np.int8)))
+            first, last = edge[::2], edge[1::2]
+            total = np.zeros(len(x) + 1, np.uint64)
+            np.cumsum(_BYTE[x] * self.up[: len(x)], out=total[1:])
+            h = (total[last] - total[first]) * self.down[first]
+            h ^= h >> _SHIFT
+            h *= _FINISH
+            h ^= h >> np.uint64(29)
+            hashes.append(h)
+            starts.append(first + at)
+            at = end
+        return (np.concatenate(hashes), np.concatenate(starts)) if hashes else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    def sets(self, texts: list[bytes]) -> list[np.ndarray]:
+        w, at = self.words(b"\n".join(texts))
+        cuts = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for t in texts)])).tolist()
+        n = max(0, len(w) - N + 1)
+        h = w[:n] * self.MIX[0]
+        for k in range(1, N):  # words' hashes are random already: a sum with odd factors keeps their order apart
+            h += w[k : n + k] * self.MIX[k]
+        h ^= h >> _SHIFT
+        h *= _FINISH
+        out = []
+        for a, b in itertools.pairwise(cuts):
+            if b - a < N:
+                out.append(np.array([xxhash.xxh3_64_intdigest(w[a:b].tobytes(), seed=b - a)], np.uint64) if b > a else w[:0])
+                continue
+            x = h[a : b - N + 1]
+            x.sort()  # in place: no other text's windows are in it
+            new = np.empty(len(x), bool)
+            new[0] = True
+            np.not_equal(x[1:], x[:-1], out=new[1:])
+            out.append(x[new])
+        return out
 
     def set(self, text: bytes) -> np.ndarray:
-        w = self.words(text)
-        if not len(w):
-            return w
-        if len(w) < N:
-            return np.array([xxhash.xxh3_64_intdigest(w.tobytes(), seed=len(w))], np.uint64)
-        with np.errstate(over="ignore"):
-            h = np.zeros(len(w) - N + 1, np.uint64)
-            for k, m in enumerate(self.MIX):
-                x = w[k : len(w) - N + 1 + k] * np.uint64(m)
-                h = (h ^ (x ^ (x >> np.uint64(29)))) * np.uint64(0xBF58476D1CE4E5B9)
-            h ^= h >> np.uint64(31)
-        return np.unique(h)
+        return self.sets([text])[0]
+
+
+_GAP = re.compile(rb"[ \t\n\x0b\x0c\r]")
 
 
 def _texts(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
 
 
-def _pairs(batch: pa.RecordBatch) -> Iterator[tuple[int | None, bytes]]:
-    for part in slices(batch):
-        yield from zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), strict=True)
+def _token_sets(batch: pa.RecordBatch, make: Shingler) -> Iterator[tuple[int | None, np.ndarray]]:
+    """(doc_id, set) of each row."""
+    for part in slices(batch, _PIECE):
+        yield from zip(part["doc_id"].to_pylist(), make.sets(part["text"].cast(pa.binary()).to_pylist()), strict=True)
 
 
-def heavy(docs: DataFrame) -> np.ndarray:
-    """Tokens that many documents hold, sorted: an estimate that only sets the order of prefixes."""
+def frequent(docs: DataFrame) -> np.ndarray:
+    """A Bloom filter of the tokens that more than SHORT documents hold, counted over all documents: over the first tokens of
+    each set by hash, twice as many as a prefix has, so that prefixes that step over frequent tokens still hold counted ones."""
     schema = arrow_schema("token long, n long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
         held, size = [], 0
         for batch in itertools.chain(batches, [None]):
-            for _, text in _pairs(batch) if batch is not None else ():
-                held.append(make.set(text))
+            for _, tokens in _token_sets(batch, make) if batch is not None else ():
+                held.append(tokens[: 2 * prefix_size(len(tokens))])
                 size += len(held[-1])
-                if size > 4_000_000:
+                if size > 1_000_000:
                     yield count(held)
                     held, size = [], 0
         if held:
@@ -118,12 +163,19 @@ def heavy(docs: DataFrame) -> np.ndarray:
 
     def count(held: list[np.ndarray]) -> pa.RecordBatch:
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
-        at = n >= LOCAL
-        return pa.RecordBatch.from_arrays([pa.array(tokens[at].view(np.int64)), pa.array(n[at], pa.int64())], schema=schema)
+        return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
 
-    seen = _texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") >= HOT)
-    top = seen.orderBy(F.desc("n"), "token").limit(MAX_HOT).select("token").toArrow()  # 8 MB at most
-    return np.sort(top["token"].to_numpy().view(np.uint64))
+    return bloom(_texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).select("token"))
+
+
+def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
+    """The first tokens of a sorted set in the order: those not in the filter, then those in it."""
+    n = prefix_size(len(tokens)) if len(tokens) else 0
+    for head in (tokens[: 2 * n], tokens) if n else ():  # mostly the first few suffice
+        is_hot = in_bloom(hot, head)
+        if len(head) - np.count_nonzero(is_hot) >= n:
+            return head[~is_hot][:n]
+    return np.concatenate([tokens[~is_hot], tokens[is_hot]])[:n] if n else tokens
 
 
 def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
@@ -135,18 +187,13 @@ def prefixes(docs: DataFrame, hot: np.ndarray) -> DataFrame:
         make, last = Shingler(), sent.value
         for batch in batches:
             ids, sizes, d1, d2, parts = [], [], [], [], []
-            for doc, text in _pairs(batch):
-                tokens = make.set(text)
+            for doc, tokens in _token_sets(batch, make):
                 raw = xxhash.xxh3_128_intdigest(tokens.tobytes())
                 ids.append(doc)
                 sizes.append(len(tokens))
                 d1.append((raw >> 64) - (1 << 63))
                 d2.append((raw & 0xFFFFFFFFFFFFFFFF) - (1 << 63))
-                if len(last) and len(tokens):
-                    at = np.minimum(np.searchsorted(last, tokens), len(last) - 1)
-                    is_hot = last[at] == tokens
-                    tokens = np.concatenate([tokens[~is_hot], tokens[is_hot]])
-                parts.append(tokens[: prefix_size(len(tokens))] if len(tokens) else tokens)
+                parts.append(prefix(tokens, last))
             flat = pa.array(np.concatenate(parts).view(np.int64)) if parts else pa.array([], pa.int64())
             lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, parts)]), pa.int32()), flat)
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(sizes, pa.int64()), pa.array(d1, pa.int64()), pa.array(d2, pa.int64()), lists], schema=schema)
@@ -316,8 +363,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         make = Shingler()
         for batch in batches:
-            for part in slices(batch):
-                tokens = [make.set(t).tobytes() for t in part["text"].cast(pa.binary()).to_pylist()]
+            for part in slices(batch, _PIECE):
+                tokens = [x.tobytes() for x in make.sets(part["text"].cast(pa.binary()).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part["block"], part["doc_id"], pa.array(tokens, pa.binary())], schema=schema)
 
     return rows.mapInArrow(run, "block long, doc_id long, tokens binary")
@@ -326,8 +373,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _streamed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
     """The blocks of a partition sorted by block and doc_id; repeated doc_ids come once."""
     block, ids, sets = None, [], []
-    for batch in batches:
-        for b, d, raw in zip(batch["block"].to_pylist(), batch["doc_id"].to_pylist(), batch["tokens"].to_pylist(), strict=True):
+    for part in (p for batch in batches for p in slices(batch)):
+        for b, d, raw in zip(part["block"].to_pylist(), part["doc_id"].to_pylist(), part["tokens"].to_pylist(), strict=True):
             if b != block:
                 if ids:
                     yield block, ids, sets
@@ -359,7 +406,7 @@ def _search_parts(parts: DataFrame, queries: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         at, ids, sets, index, out = None, [], [], None, []
-        for batch in batches:
+        for batch in (p for b in batches for p in slices(b)):
             for b, p, d, raw, ask in zip(*(batch[c].to_pylist() for c in ("block", "part", "doc_id", "tokens", "ask")), strict=True):
                 if (b, p) != at:
                     at, ids, sets, index = (b, p), [], [], None
@@ -402,7 +449,7 @@ def _outside_main(sets: DataFrame, links: DataFrame) -> DataFrame:
 
 def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, n, d1, d2) of all documents, and (node, root) of the nodes with links."""
-    all_ = stored(prefixes(docs, heavy(docs)), "prefixes")
+    all_ = stored(prefixes(docs, frequent(docs)), "prefixes")
     known = all_.where("doc_id is not null and n > 0")
     named = known.groupBy("d1", "d2").agg(F.min("doc_id").alias("node"))
     first = known.join(named, (known.doc_id == named.node) & (known.d1 == named.d1) & (known.d2 == named.d2), "left_semi").dropDuplicates(["doc_id", "d1", "d2"])

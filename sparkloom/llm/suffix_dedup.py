@@ -38,12 +38,10 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, slices, stored
+from .common import arrow_schema, bloom, in_bloom, slices, stored
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a window around it can hold
-#: Bits of the Bloom filter: 16 MB, whatever the input.
-BLOOM = 1 << 27
 LAST_ID = (1 << 63) - 1
 #: Whole copies up to so many are broadcast by id (8 bytes each).
 BROADCAST_IDS = 500_000
@@ -165,28 +163,21 @@ def leaves(anchored: DataFrame) -> DataFrame:
     return anchored.repartition("print").sortWithinPartitions("print", "context", "doc", "place").mapInArrow(run, "repeat boolean, print long, doc long, place long")
 
 
-def _bits(doc: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _named(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
+    """One number for each (doc, place)."""
     with np.errstate(over="ignore"):
-        x = (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
-        x = (x ^ (x >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-        x ^= x >> np.uint64(32)
-    return x & np.uint64(BLOOM - 1), (x >> np.uint64(32)) & np.uint64(BLOOM - 1)
+        return (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def bloom(asked: DataFrame) -> np.ndarray:
-    """The filter of (doc, place), as bytes: parts come as words with their bits set, at most BLOOM / 64 rows."""
-    schema = arrow_schema("word long, bits long")
+def asked_for(asked: DataFrame) -> np.ndarray:
+    """The Bloom filter of (doc, place)."""
+    schema = arrow_schema("name long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            bits = np.concatenate(_bits(batch["doc"].to_numpy(), batch["place"].to_numpy()))
-            word, value = (bits >> np.uint64(6)).astype(np.int64), np.uint64(1) << (bits & np.uint64(63))
-            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(value.view(np.int64))], schema=schema)
+            yield pa.RecordBatch.from_arrays([pa.array(_named(batch["doc"].to_numpy(), batch["place"].to_numpy()).view(np.int64))], schema=schema)
 
-    words = asked.select("doc", "place").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
-    out = np.zeros(BLOOM // 64, np.int64)
-    out[words["word"].to_numpy()] = words["bits"].to_numpy()
-    return out.view(np.uint8)
+    return bloom(asked.select("doc", "place").mapInArrow(run, "name long"))
 
 
 _CONTEXTS = "print long, doc long, place long, before binary, after binary"
@@ -203,8 +194,7 @@ def contexts(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
                 out: list[list] = [[], [], [], [], []]
                 for doc, raw, checksum, place, print_ in _anchored(part):
                     where = _where(place, checksum)
-                    one, two = _bits(np.full(len(place), doc, np.int64), where)
-                    ok = np.flatnonzero((held[one >> np.uint64(3)] >> (one & np.uint64(7)).astype(np.uint8)) & (held[two >> np.uint64(3)] >> (two & np.uint64(7)).astype(np.uint8)) & 1)
+                    ok = np.flatnonzero(in_bloom(held, _named(np.full(len(place), doc, np.int64), where)))
                     for p, w, f in zip(place[ok].tolist(), where[ok].tolist(), print_[ok].view(np.int64).tolist(), strict=True):
                         for x, v in zip(out, (f, doc, w, raw[max(0, p - REACH) : p][::-1], raw[p : p + LENGTH]), strict=True):
                             x.append(v)
@@ -318,7 +308,7 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sent = F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole
     rows = _rows(docs).where(F.octet_length("text") >= LENGTH).withColumn("checksum", F.crc32("text")).join(sent, ["doc", "checksum"], "left_anti").select("doc", "text")
     found = stored(leaves(anchor_rows(rows)), "leaves")
-    tree = tree_spans(contexts(rows, bloom(found.where("not repeat"))))
+    tree = tree_spans(contexts(rows, asked_for(found.where("not repeat"))))
     place = F.shiftright("place", 32)
     # a repeated leaf's context is within the text, which the span is cut to when it is applied
     again = found.where("repeat").select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("checksum"), F.greatest(place - REACH, F.lit(0).cast("long")).alias("start"), (place + LENGTH).alias("end"))
