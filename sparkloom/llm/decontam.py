@@ -24,6 +24,7 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType, StructField, StructType
 
 from .common import arrow_schema, slices, texts
 
@@ -234,7 +235,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
                 clean = [None if none else removed(t, r) if r else t for t, r, none in zip(part["text"].to_pylist(), part["runs"].to_pylist(), part["none"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["rest"], pa.array(clean, pa.string())], names=["rest", "text"])
 
-    cleaned = got.select("rest", "none", "text", "runs").mapInArrow(cut, got.select("rest", "text").schema)
+    cleaned = got.select("rest", "none", "text", "runs").mapInArrow(cut, StructType([got.schema["rest"], StructField("text", StringType())]))
     return cleaned.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in names])
 
 
