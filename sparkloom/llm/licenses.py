@@ -1,15 +1,19 @@
 """License scans by canonical digest. DataFrame operations only.
 
-A text's canonical form has lower case, no copyright lines, licence spellings made one, and only its words, one space
-between two. Its SHA-256 is looked up among the digests of known licences by a hash join. Entire texts are looked up:
-the whole document, and each paragraph and line of it as a text of its own, since notices stand in documents as lines.
-
-Scale: texts are scanned once. The known digests (REGISTRY, or a parameter table) are the small side, a few dozen rows
-of 32 bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests. A text's parts are cut to their distinct
-canonical forms first, and only parts whose length in characters some known licence has are hashed and joined.
-
-Edge cases: null and empty texts have no licence (and the digest of the empty string); equal parts of a text count once;
-repeated rows each get a row; other columns are ignored.
+A text's canonical form has lower case, no copyright lines, equivalent spellings made one, and only its letters and
+digits: neither punctuation nor white space, so that wrapping, hyphens and comment marks do not matter. Its SHA-256 is
+looked up among the digests of known licences by a hash join. Entire texts are looked up: the whole document, and each
+paragraph and line of it as a text of its own, since notices stand in documents as lines. A paragraph ends at a line
+without letters or digits; a copyright line goes with its line break and ends none.
+
+Scale: texts are scanned once and normalised once; parts are cut out of the normalised text. Only parts whose canonical
+length some known licence has are hashed, and of those only what the join finds goes into the one shuffle, besides a
+row of ids per document. The known digests (REGISTRY, or a parameter table) are the small side, a few dozen rows of 64
+bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests, where a notice that many documents hold is
+left to the planner's skew join.
+
+Edge cases: null and empty texts, and texts without letters or digits, have no licence; equal lines of a text count once;
+repeated rows each get a row; other columns are ignored; an empty table gives no rows and an empty registry no licences.
 """
 
 from __future__ import annotations
@@ -21,13 +25,14 @@ from .common import stored
 
 BROADCAST_ROWS = 100_000
 
-#: Equivalent spellings, as (pattern, word) on lower-case text, applied in this order.
-SPELLINGS = (
-    (r"licence", "license"), (r"sub-license", "sublicense"), (r"non-infringement", "noninfringement"), (r"copyright owner", "copyright holder"), (r"\bper cent\b", "percent"),
-    (r"https?://", ""), (r"\bversion\b", "v"), (r"\bv\.? *([0-9])", "v$1"), (r"\borganisation", "organization"), (r"favour", "favor"), (r"&", " and "), (r"\bwhilst\b", "while"),
-)
-#: A copyright line: its whole line goes.
-COPYRIGHT = r"(?m)^[^a-z0-9\n]*(?:copyright\b[^\n]*(?:©|\(c\)|[0-9]{4})|©|\(c\) *(?:copyright|[0-9]{4})|all rights reserved)[^\n]*$"
+#: Lengths up to so many are compared one by one; beyond, by their range.
+MOST_LENGTHS = 1000
+
+#: Equivalent spellings, as (text, text) on lower-case text. Hyphens and spaces inside words go anyway.
+SPELLINGS = (("licence", "license"), ("organisation", "organization"), ("favour", "favor"), ("whilst", "while"), ("https://", ""), ("http://", ""), ("&", " and "))
+#: A copyright line: it goes with its line break.
+COPYRIGHT = r"^[^\p{L}\p{N}\n]*(?:copyright\b[^\n]*(?:©|\(c\)|[0-9]{4})|©|\(c\) *(?:copyright|[0-9]{4})|all rights reserved)[^\n]*\n?"
+VERSION, OTHER, HOLDER = r"\bversion\b", r"[^\p{L}\p{N}\n]+", r"copyright(\n*)holder"
 
 _MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:
 
@@ -59,12 +64,21 @@ REGISTRY = (
 )
 
 
+def normalised(text: Column) -> Column:
+    """The canonical form with the text's line breaks still in it."""
+    text = F.regexp_replace(F.lower(text), "(?md)" + COPYRIGHT, "")
+    for one, other in SPELLINGS:
+        text = F.replace(text, F.lit(one), F.lit(other))
+    return F.regexp_replace(F.regexp_replace(F.regexp_replace(text, VERSION, "v"), OTHER, ""), HOLDER, "copyright$1owner")
+
+
 def canonical(text: Column) -> Column:
-    """Lower case, no copyright lines, one spelling, words only. What has no letter or digit becomes empty."""
-    text = F.regexp_replace(F.lower(text), COPYRIGHT, "")
-    for pattern, word in SPELLINGS:
-        text = F.regexp_replace(text, pattern, word)
-    return F.btrim(F.regexp_replace(text, r"[^\p{L}\p{N}]+", " "))
+    """Letters and digits only, in lower case, without copyright lines, in one spelling. What has none becomes empty."""
+    return _joined(normalised(text))
+
+
+def _joined(text: Column) -> Column:
+    return F.replace(text, F.lit("\n"), F.lit(""))
 
 
 def digest(text: Column) -> Column:
@@ -72,35 +86,59 @@ def digest(text: Column) -> Column:
 
 
 def known_digests(spark: SparkSession, registry: tuple[tuple[str, str], ...] = REGISTRY) -> DataFrame:
-    """(license, digest, chars): the canonical digests of known texts."""
+    """(license, digest, chars): the canonical digests of known texts, and the lengths of their canonical forms."""
     rows = spark.createDataFrame(list(registry), "license string, text string")
-    return rows.select("license", canonical(F.col("text")).alias("form")).groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("chars"))
-
-
-def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """row, doc_id, part (text, paragraph or line), license, digest of each known text found; row is a number per row of docs."""
-    known = stored(known_digests(docs.sparkSession) if known is None else known, "licenses")
-    lengths = [r.chars for r in known.select("chars").distinct().limit(BROADCAST_ROWS).collect()]
-    rows = _rows(docs)
-    # a part that can't have a known length in words isn't canonicalised: the raw form is no shorter than the canonical one, but for spellings
-    longest = max(lengths, default=0) * 2 + 400
-    shortest = max(1, min(lengths, default=1) // 2)
-    own = lambda kind, parts: F.transform(parts, lambda x: F.struct(F.lit(kind).alias("part"), x.alias("text")))
-    fits = lambda x: F.length(x).between(shortest, longest)
-    parts = F.concat(own("text", F.array("text")), own("paragraph", F.filter(F.split("text", r"\n[\x20\t]*\n"), fits)), own("line", F.array_distinct(F.filter(F.split("text", r"\n"), fits))))
-    forms = rows.select("row", "doc_id", F.explode(parts).alias("x")).select("row", "doc_id", "x.part", canonical(F.col("x.text")).alias("form"))
-    at = forms.where(F.length("form").isin(lengths)) if len(lengths) < 1000 else forms
-    at = at.select("row", "doc_id", "part", digest(F.col("form")).alias("digest"))
+    return rows.select("license", canonical(F.col("text")).alias("form")).where("form <> ''").groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("chars"))
+
+
+def _looked_up(docs: DataFrame, known: DataFrame | None) -> DataFrame:
+    """scan(), and for each row of docs one more row whose part is empty."""
+    known = stored(known_digests(docs.sparkSession) if known is None else known.select("license", "digest", "chars"), "licenses")
+    n, least, most = known.agg(F.count("*"), F.min("chars"), F.max("chars")).head()
+    lengths = known.select("chars").distinct()
+    lengths = [r.chars for r in lengths.collect()] if n <= BROADCAST_ROWS and lengths.count() <= MOST_LENGTHS else None
+    fits = lambda x: F.length(x).between(least or 0, most or 0) if lengths is None else F.array_contains(F.lit(lengths or [-1]), F.length(x))
+    own = lambda kind, parts: F.transform(F.filter(parts, fits), lambda x: F.struct(F.lit(kind).alias("part"), digest(x).alias("digest")))
+    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("form"))
+    # the row that every document has gets a key of its own, which is no digest: no key is hot by it
+    every = F.array(F.struct(F.lit("").alias("part"), F.col("row").cast("string").alias("digest")))
+    parts = F.concat(every, own("text", F.array(_joined(F.col("form")))), own("paragraph", F.transform(F.split("form", "\n\n+"), _joined)), own("line", F.array_distinct(F.split("form", "\n"))))
+    at = rows.select("row", "doc_id", F.explode(parts).alias("x")).select("row", "doc_id", "x.part", "x.digest")
     side = known.select("digest", "license")
-    return at.join(F.broadcast(side) if len(lengths) < BROADCAST_ROWS and known.count() <= BROADCAST_ROWS else side, "digest").select("row", "doc_id", "part", "license", "digest").distinct()
+    return at.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "digest", "left").where("part = '' or license is not null").select("row", "doc_id", "part", "license", "digest")
 
 
-def _rows(docs: DataFrame) -> DataFrame:
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
+    """row, doc_id, part (text, paragraph or line), license, digest of each known text found; row is a number per row of docs.
+    known: (license, digest, chars), as known_digests gives it."""
+    return _looked_up(docs, known).where("part <> ''").distinct()
 
 
 def report(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """doc_id, license (of the entire text, or null), notices (licences of its paragraphs and lines, sorted, comma-joined), n_notices."""
-    found = scan(docs, known).groupBy("row").agg(F.min(F.when(F.col("part") == "text", F.col("license"))).alias("license"), F.sort_array(F.collect_set("license")).alias("all"))
-    rows = _rows(docs).select("row", "doc_id")
-    return rows.join(found, "row", "left").select("doc_id", "license", F.coalesce(F.array_join("all", ","), F.lit("")).alias("notices"), F.coalesce(F.size("all"), F.lit(0)).cast("long").alias("n_notices"))
+    found = _looked_up(docs, known).groupBy("row", "doc_id").agg(F.min(F.when(F.col("part") == "text", F.col("license"))).alias("license"), F.sort_array(F.collect_set("license")).alias("all"))
+    return found.select("doc_id", "license", F.array_join("all", ",").alias("notices"), F.size("all").cast("long").alias("n_notices"))
+
+
+def _sql(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _oracle() -> str:
+    form = f"regexp_replace(lower(text), {_sql('(?m)' + COPYRIGHT)}, '', 'g')"
+    for one, other in SPELLINGS:
+        form = f"replace({form}, {_sql(one)}, {_sql(other)})"
+    for pattern, word in ((VERSION, "v"), (OTHER, ""), (HOLDER, r"copyright\1owner")):
+        form = f"regexp_replace({form}, {_sql(pattern)}, {_sql(word)}, 'g')"
+    return f"""
+WITH known AS (SELECT sha256(replace({form}, chr(10), '')) AS digest, min(license) AS license FROM (VALUES {", ".join(f"({_sql(a)}, {_sql(b)})" for a, b in REGISTRY)}) AS t(license, text) GROUP BY 1),
+d AS (SELECT row_number() OVER () AS r, doc_id, {form} AS form FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
+p AS (SELECT r, 'text' AS part, replace(form, chr(10), '') AS x FROM d
+    UNION ALL SELECT r, 'paragraph', replace(unnest(regexp_split_to_array(form, '\\n\\n+')), chr(10), '') FROM d
+    UNION ALL SELECT r, 'line', unnest(string_split(form, chr(10))) FROM d),
+f AS (SELECT r, min(license) FILTER (part = 'text') AS license, string_agg(DISTINCT license, ',' ORDER BY license) AS notices, count(DISTINCT license) AS n FROM p JOIN known ON digest = sha256(x) WHERE x <> '' GROUP BY r)
+SELECT doc_id, f.license, coalesce(notices, '') AS notices, CAST(coalesce(n, 0) AS BIGINT) AS n_notices FROM d LEFT JOIN f USING (r)
+"""
+
+
+ORACLE = _oracle()

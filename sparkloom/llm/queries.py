@@ -68,4 +68,4 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op2_decontaminate, op3_jaccard_join, op4_secrets, op5_line_dedup, op6_suffix_dedup, op7_quality, op8_licenses, op9_html_text, op10_chat, pipeline)}
-ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontam.ORACLE, "op3_jaccard_join": jaccard.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE, "op10_chat": chat.ORACLE}
+ORACLE_SQL: dict[str, str] = {"op2_decontaminate": decontam.ORACLE, "op3_jaccard_join": jaccard.ORACLE, "op5_line_dedup": line_dedup.ORACLE, "op6_suffix_dedup": suffix_dedup.ORACLE, "op8_licenses": licenses.ORACLE, "op10_chat": chat.ORACLE}

@@ -209,6 +209,23 @@ def test_licenses(spark, empty):
     got = rows(licenses.report(spark.createDataFrame(list(texts.items()), "doc_id long, text string")))
     assert [(got[d].license, got[d].notices) for d in texts] == [("MIT", "MIT"), ("MIT", "MIT"), (None, "MIT"), (None, ""), (None, "")]
     assert licenses.report(empty).count() == 0
+    none = licenses.known_digests(spark).where("false")
+    assert {r.n_notices for r in licenses.report(spark.createDataFrame([(1, mit)], "doc_id long, text string"), none).collect()} == {0}
+
+
+def test_license_forms(spark, monkeypatch):
+    isc, mit = licenses.REGISTRY[3][1], licenses.REGISTRY[0][1]
+    wrapped = "\n".join(" * " + x for x in isc.replace("fee is", "fee\nis").split("\n"))
+    texts = {
+        1: wrapped, 2: "=" * 9000 + "\n" + "\n".join(mit.split(". ")), 3: "-- " * 3000 + "released under the MIT license" + " !" * 3000, 4: mit.replace(", to any", ",\n(c) 2021 Some One\nto any").replace("COPYRIGHT HOLDERS", "COPYRIGHT\nOWNERS"),
+        5: "prose\n\n" + mit.split("\n\n")[0] + "\n\nprose", 6: "prose\n\n" + isc.replace("\n\n", "\n") + "\n \t\nprose", 7: "Licensed under the Apache Licence,\nv. 2.0\n\nLicensed under CC-BY 4.0\nLicensed under CC-BY 4.0", 8: "© 2020 x", 9: "!!",
+    }
+    want = {1: ("ISC", "ISC"), 2: ("MIT", "MIT"), 3: ("MIT", "MIT"), 4: ("MIT", "MIT"), 5: (None, ""), 6: (None, "ISC"), 7: (None, "Apache-2.0,CC-BY-4.0"), 8: (None, ""), 9: (None, "")}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
+    assert {d: (r.license, r.notices) for d, r in rows(licenses.report(docs)).items()} == want
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", 0)  # a large registry: a shuffle, and a range of lengths
+    assert {d: (r.license, r.notices) for d, r in rows(licenses.report(docs)).items()} == want
+    assert {(r.doc_id, r.part) for r in licenses.scan(docs).collect()} >= {(1, "text"), (6, "paragraph"), (7, "line"), (7, "paragraph")}
 
 
 def test_html(spark):
