@@ -10,7 +10,9 @@ MIN_GROUP rows are pooled with the others of their language; a pool with fewer r
 
 Scale: texts are scanned once; the counts, some 60 bytes a row, are written to the shared folder, and all fitting steps
 group them by (lang, source) with partial aggregates, so a source that holds a third of all rows is no hot task.
-Estimates are a row per group and are joined back; the planner broadcasts them as far as its threshold allows.
+Estimates are a row per group (half a KB) and are written and counted: up to BROADCAST_GROUPS are broadcast to the rows, so
+that no large source's rows meet in one task; more groups than that are joined by a shuffle, whose large partitions the
+planner splits.
 
 Edge cases: null texts are empty (no words: base_failed); null lang and source form their own groups; repeated rows each
 count; other columns are ignored.
@@ -29,6 +31,8 @@ WORDS = r"[^\x20\x09-\x0D]+"
 H, MIN_GROUP, STEPS = 0.75, 50, 2
 #: Rejected ids up to so many are broadcast (8 bytes each) rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
+#: Groups up to so many have their sizes, quartiles and estimates broadcast (half a KB each) to the rows.
+BROADCAST_GROUPS = 10_000
 #: Quantile 1 - 1e-6 of chi-squared with six degrees of freedom, and the MCD's consistency factor at H = 0.75 for six.
 CUTOFF, CONSISTENCY = 38.26, 1.36
 FEATURES = ("f_length", "f_symbol", "f_line", "f_repeat", "f_upper", "f_mark")
@@ -86,16 +90,22 @@ def _distance(start: str, names: tuple[str, ...]) -> Column:
     return sum((r * r for r in rows), F.lit(0.0))
 
 
+def _per_group(df: DataFrame, tag: str) -> DataFrame:
+    """df, a row a group, stored; broadcast to what it is joined to if it is small."""
+    df = stored(df, tag)
+    return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
+
+
 def mcd(rows: DataFrame, group: str, names: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, h: float = H, steps: int = STEPS) -> DataFrame:
     """One row a group: best_m* (centre), best_w*_* (inverse Cholesky factor of the covariance) and best_det, by MCD."""
     d, at = len(names), rows.select(group, *names)
     quart = at.groupBy(group).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"p{i}") for i, x in enumerate(names)])
     z = [F.pow((F.col(x) - F.col(f"p{i}")[1]) / (floor[i] + (F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349), F.lit(2)) for i, x in enumerate(names)]
-    near = at.join(stored(quart, "quartiles"), group).select(group, *names, sum(z, F.lit(0.0)).alias("sum_d"), F.greatest(*z).alias("max_d"))
+    near = at.join(_per_group(quart, "quartiles"), group).select(group, *names, sum(z, F.lit(0.0)).alias("sum_d"), F.greatest(*z).alias("max_d"))
     starts, est = ("sum", "max"), None
     for _ in range(steps + 1):
         edge = near.groupBy(group).agg(*[F.percentile_approx(f"{s}_d", h, 2000).alias(f"{s}_e") for s in starts])
-        part = near.join(edge, group)
+        part = near.join(_per_group(edge, "edges"), group)
         own = lambda s, x: F.avg(F.when(F.col(f"{s}_d") <= F.col(f"{s}_e"), x))
         est = part.groupBy(group).agg(
             *[F.sum(F.when(F.col(f"{s}_d") <= F.col(f"{s}_e"), 1)).cast("double").alias(f"{s}_n") for s in starts],
@@ -104,7 +114,7 @@ def mcd(rows: DataFrame, group: str, names: tuple[str, ...] = FEATURES, floor: t
         )
         for s in starts:
             est = _inverse(est, s, names, floor).drop(*[f"{s}_q{i}_{j}" for i, j in combinations_with_replacement(range(d), 2)])
-        est = stored(est, "mcd")
+        est = _per_group(est, "mcd")
         near = at.join(est, group).select(group, *names, *[_distance(s, names).alias(f"{s}_d") for s in starts])
     fields = [f"m{i}" for i in range(d)] + [f"w{i}_{j}" for i in range(d) for j in range(i + 1)] + ["det"]
     return est.select(group, *[F.when(F.col("sum_det") <= F.col("max_det"), F.col(f"sum_{x}")).otherwise(F.col(f"max_{x}")).alias(f"best_{x}") for x in fields])
@@ -114,12 +124,12 @@ def judged(docs: DataFrame) -> DataFrame:
     """counts() with the group that a row was judged in, its squared distance (null: not tested) and kept."""
     rows = stored(counts(docs), "quality")
     tested = rows.where("not base_failed")
-    sizes = stored(tested.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
+    sizes = _per_group(tested.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
     name = F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang")))
     named = rows.join(sizes, ["lang", "source"], "left").withColumn("judged_in", name).drop("n")
     fit = mcd(named.where("not base_failed"), "judged_in")
     pools = named.where("not base_failed").groupBy("judged_in").agg(F.count("*").alias("pool"))
-    best = named.join(fit.join(pools, "judged_in").where(F.col("pool") >= MIN_GROUP), "judged_in", "left")
+    best = named.join(_per_group(fit.join(pools, "judged_in").where(F.col("pool") >= MIN_GROUP), "fits"), "judged_in", "left")
     far = F.when(~F.col("base_failed"), _distance("best", FEATURES))
     return best.select(*rows.columns, "judged_in", far.alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
 
