@@ -15,7 +15,8 @@ doc_id, or earlier in the same document. Strings are judged on the input.
    leaves are sorted by left context, whose common suffixes give the groups with diverse left extensions: the maximal
    repeats, with all their occurrences. In each group of at least LENGTH bytes all but the earliest lose the repeat.
 
-Scale: a row of some 30 bytes per anchor is shuffled once; contexts only for leaves that have others beside them,
+Scale: a row of some 30 bytes per anchor is shuffled once; of a leaf's occurrences in about a MB of text only the earliest
+goes to its fingerprint's task, the others are repeats already and are dealt out evenly; contexts only for leaves that have others beside them,
 picked in the second scan by a Bloom filter of fixed size (a false positive only ships a context more). Whole copies
 of a text are set aside first by digest, so that a text which a third of the rows repeat makes no hot anchors. Leaves
 stream from sorted partitions.
@@ -108,11 +109,20 @@ def _where(place: np.ndarray, checksum: int) -> np.ndarray:
     return (place.astype(np.int64) << 32) | checksum
 
 
-_ANCHORS = "print long, context long, doc long, place long"
+_ANCHORS = "sure boolean, print long, context long, doc long, place long"
+
+
+def _not_first(prints: np.ndarray, contexts: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
+    """Whether a leaf's occurrence has an earlier one among these rows: a repeat, whatever the other rows are."""
+    order = np.lexsort((places, docs, contexts, prints))
+    p, c = prints[order], contexts[order]
+    out = np.zeros(len(p), bool)
+    out[order[1:]] = (p[1:] == p[:-1]) & (c[1:] == c[:-1])
+    return out
 
 
 def anchor_rows(rows: DataFrame) -> DataFrame:
-    """(print, context, doc, place): fingerprint, digest of the context, document, and place << 32 | checksum."""
+    """(sure, print, context, doc, place): surely a repeat, fingerprint, digest of the context, document, and place << 32 | checksum."""
     schema = arrow_schema(_ANCHORS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -125,7 +135,8 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
                     docs.append(np.full(len(place), doc, np.int64))
                     places.append(_where(place, checksum))
                 if prints:
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (np.concatenate(prints), np.array(contexts, np.uint64).view(np.int64), np.concatenate(docs), np.concatenate(places))], schema=schema)
+                    found = (np.concatenate(prints), np.array(contexts, np.uint64).view(np.int64), np.concatenate(docs), np.concatenate(places))
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (_not_first(*found), *found)], schema=schema)
 
     return rows.mapInArrow(run, _ANCHORS)
 
@@ -140,7 +151,13 @@ def leaves(anchored: DataFrame) -> DataFrame:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            p, c, d, w = (batch[x].to_numpy() for x in ("print", "context", "doc", "place"))
+            sure = batch["sure"].to_numpy(zero_copy_only=False)
+            if sure.any():  # dealt out evenly, sorted behind the others
+                at = np.flatnonzero(sure)
+                yield pa.RecordBatch.from_arrays([pa.array(np.ones(len(at), bool)), *(pa.array(batch[x].to_numpy()[at]) for x in ("print", "doc", "place"))], schema=schema)
+                if len(at) == len(sure):
+                    continue
+            p, c, d, w = (batch[x].to_numpy()[~sure] for x in ("print", "context", "doc", "place"))
             same_p = np.r_[last is not None and last[0] == p[0], p[1:] == p[:-1]]
             same_leaf = same_p & np.r_[last is not None and last[1] == c[0], c[1:] == c[:-1]]
             first = np.flatnonzero(~same_leaf)
@@ -160,7 +177,8 @@ def leaves(anchored: DataFrame) -> DataFrame:
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([False]), *(pa.array([x], pa.int64()) for x in out[0])], schema=schema)
 
-    return anchored.repartition("print").sortWithinPartitions("print", "context", "doc", "place").mapInArrow(run, "repeat boolean, print long, doc long, place long")
+    dealt = anchored.withColumn("to", F.when(F.col("sure"), F.xxhash64("doc", "place")).otherwise(F.col("print"))).repartition("to").drop("to")
+    return dealt.sortWithinPartitions("sure", "print", "context", "doc", "place").mapInArrow(run, "repeat boolean, print long, doc long, place long")
 
 
 def _named(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
