@@ -64,7 +64,7 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
     nodes are safe: the smallest neighbour is a pre-aggregated min, joined back to the rows."""
     e = stored(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), tag)
     last = None
-    for _ in range(most_rounds):
+    for _ in range(most_rounds):  # a few more than the logarithm of the longest path
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         # large star: each larger neighbour of u points to the smallest of u's neighbourhood
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -77,6 +77,8 @@ def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60)
         if last == tuple(now):
             break
         last = tuple(now)
+    else:
+        raise RuntimeError(f"components did not settle in {most_rounds} rounds")
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
