@@ -14,6 +14,8 @@ doc_id, or earlier in the same document. Strings are judged on the input.
    right context, neighbours' common prefixes give the intervals of the tree by a stack scan, and in each interval the
    leaves are sorted by left context, whose common suffixes give the groups with diverse left extensions: the maximal
    repeats, with all their occurrences. In each group of at least LENGTH bytes all but the earliest lose the repeat.
+   A fingerprint with more than LEAVES leaves (a short passage in very many surroundings) is not held by one task: the
+   tree's nodes of LENGTH bytes are grouped instead, with the same spans.
 
 Scale: a row of some 30 bytes per anchor is shuffled once; of a leaf's occurrences in about a MB of text only the earliest
 goes to its fingerprint's task, the others are repeats already and are dealt out evenly; contexts only for leaves that have others beside them,
@@ -46,6 +48,8 @@ REACH = LENGTH - GRAM  # bytes before an anchor that a window around it can hold
 LAST_ID = (1 << 63) - 1
 #: Whole copies up to so many are broadcast by id (8 bytes each).
 BROADCAST_IDS = 500_000
+#: A task holds a fingerprint's leaves up to so many (some 200 bytes each, and as much again for the tree).
+LEAVES = 20_000
 _PIECE = 1 << 20
 _TABLE = np.random.default_rng(20).integers(1, 1 << 63, 256, dtype=np.uint64) | np.uint64(1)
 _STEPS = ((1, 0x9E3779B97F4A7C15), (2, 0xC2B2AE3D27D4EB4F), (4, 0x165667B19E3779F9), (8, 0xD6E8FEB86659FD93), (16, 0xFF51AFD7ED558CCD))
@@ -115,9 +119,11 @@ _ANCHORS = "sure boolean, print long, context long, doc long, place long"
 def _not_first(prints: np.ndarray, contexts: np.ndarray, docs: np.ndarray, places: np.ndarray) -> np.ndarray:
     """Whether a leaf's occurrence has an earlier one among these rows: a repeat, whatever the other rows are."""
     order = np.lexsort((places, docs, contexts, prints))
-    p, c = prints[order], contexts[order]
+    p, c, d, w = (x[order] for x in (prints, contexts, docs, places))
+    first = np.flatnonzero(np.r_[True, (p[1:] != p[:-1]) | (c[1:] != c[:-1])])
+    of = np.repeat(first, np.diff(np.r_[first, len(p)]))
     out = np.zeros(len(p), bool)
-    out[order[1:]] = (p[1:] == p[:-1]) & (c[1:] == c[:-1])
+    out[order] = (d != d[of]) | (w != w[of])
     return out
 
 
@@ -146,7 +152,7 @@ def leaves(anchored: DataFrame) -> DataFrame:
     schema = arrow_schema("repeat boolean, print long, doc long, place long")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, open_ = None, None  # the last row's (print, context); the first leaf of its fingerprint, while it is the only one
+        last, open_ = None, None  # the last row's (print, context) and its leaf's first (doc, place); the first leaf of its fingerprint, while it is the only one
 
         for batch in batches:
             if not batch.num_rows:
@@ -170,8 +176,10 @@ def leaves(anchored: DataFrame) -> DataFrame:
                     out.append(open_)
                 at = first[-1]
                 open_ = None if ask[-1] else (int(p[at]), int(d[at]), int(w[at]))
-            last = (p[-1], c[-1])
-            again, new = np.flatnonzero(same_leaf), first[ask]
+            of = np.cumsum(~same_leaf)  # 0: the last batch's leaf
+            first_d, first_w = (np.r_[x0, x[first]][of] for x0, x in (((last or (0, 0, 0, 0))[2], d), ((last or (0, 0, 0, 0))[3], w)))
+            last = (p[-1], c[-1], first_d[-1], first_w[-1])
+            again, new = np.flatnonzero((d != first_d) | (w != first_w)), first[ask]  # an equal row twice is no repeat
             rows = [np.r_[np.ones(len(again), bool), np.zeros(len(new), bool)], *(np.r_[x[again], x[new]] for x in (p, d, w))]
             yield pa.RecordBatch.from_arrays([pa.array(x) for x in rows], schema=schema)
             if out:
@@ -266,7 +274,7 @@ def losses(docs: list[tuple[int, int]], before: list[bytes], after: list[bytes])
     for left, right, members in maximal_repeats(before, after):
         first = min(members, key=docs.__getitem__)
         for x in members:
-            if x != first:  # all these spans hold the anchor, so their union is one span
+            if docs[x] != docs[first]:  # all these spans hold the anchor, so their union is one span
                 left_of[x], right_of[x] = max(left_of[x], left), max(right_of[x], right)
     return ((x, left_of[x], right_of[x]) for x in range(len(docs)) if right_of[x])
 
@@ -309,6 +317,35 @@ def tree_spans(context_rows: DataFrame) -> DataFrame:
     return context_rows.repartition("print").sortWithinPartitions("print").mapInArrow(run, _SPANS)
 
 
+def window_spans(context_rows: DataFrame) -> DataFrame:
+    """What tree_spans gives, for fingerprints with more leaves than a task should hold.
+
+    Nodes of the tree that are LENGTH bytes long are taken one by one: a leaf has one for each window around its anchor, at
+    most REACH + 1. The earliest leaf below a node is a pre-aggregated minimum; the others lose the window. All windows
+    hold the anchor, so a leaf's losses are one span."""
+    schema = arrow_schema("print long, window long, doc long, place long, left long")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, _PIECE >> 2):
+                out: list[list[int]] = [[], [], [], [], []]
+                for f, doc, place, before, after in zip(*(c.to_pylist() for c in part.columns), strict=True):
+                    around, n = before[::-1] + after, len(before)
+                    for s in range(min(n, len(around) - LENGTH) + 1):
+                        digest = xxhash.xxh3_64_intdigest(around[s : s + LENGTH])
+                        for x, v in zip(out, (f, digest - (digest >> 63 << 64), doc, place, n - s), strict=True):
+                            x.append(v)
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in out], schema=schema)
+
+    nodes = context_rows.select("print", "doc", "place", "before", "after").mapInArrow(run, "print long, window long, doc long, place long, left long")
+    nodes = nodes.withColumn("at", F.struct("doc", (F.col("place") - F.shiftleft("left", 32)).alias("start")))
+    first = nodes.groupBy("print", "window").agg(F.min("at").alias("first"), F.max("at").alias("last")).where("first < last").select("print", "window", "first")
+    lost = nodes.join(first, ["print", "window"]).where("at > first")
+    spans_ = lost.groupBy("doc", "place").agg(F.max("left").alias("left"), F.max(LENGTH - F.col("left")).alias("right"))
+    place = F.shiftright("place", 32)
+    return spans_.select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("checksum"), (place - F.col("left")).alias("start"), (place + F.col("right")).alias("end"))
+
+
 def copies(docs: DataFrame) -> DataFrame:
     """(doc, checksum): documents that repeat a whole text of at least LENGTH bytes of a smaller doc_id."""
     rows = _rows(docs).where(F.octet_length("text") >= LENGTH).select("doc", F.crc32("text").alias("checksum"), F.unhex(F.sha2("text", 256)).alias("digest"))
@@ -326,7 +363,15 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     sent = F.broadcast(whole) if whole.count() <= BROADCAST_IDS else whole
     rows = _rows(docs).where(F.octet_length("text") >= LENGTH).withColumn("checksum", F.crc32("text")).join(sent, ["doc", "checksum"], "left_anti").select("doc", "text")
     found = stored(leaves(anchor_rows(rows)), "leaves")
-    tree = tree_spans(contexts(rows, asked_for(found.where("not repeat"))))
+    asked = found.where("not repeat")
+    around = contexts(rows, asked_for(asked))
+    many = stored(asked.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("print"), "many")
+    if n_many := many.count():
+        around = stored(around, "contexts")
+        many = F.broadcast(many) if n_many <= BROADCAST_IDS else many
+        tree = tree_spans(around.join(many, "print", "left_anti")).unionByName(window_spans(around.join(many, "print", "left_semi")))
+    else:
+        tree = tree_spans(around)
     place = F.shiftright("place", 32)
     # a repeated leaf's context is within the text, which the span is cut to when it is applied
     again = found.where("repeat").select("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("checksum"), F.greatest(place - REACH, F.lit(0).cast("long")).alias("start"), (place + LENGTH).alias("end"))

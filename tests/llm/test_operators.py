@@ -180,6 +180,26 @@ def test_suffix_dedup(docs, texts, empty):
     assert suffix_dedup.report(empty).count() == 0
 
 
+def test_suffix_dedup_of_crowded_fingerprints(spark, docs, monkeypatch):
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefgh", k=6))
+    short, long_ = " ".join(word() for _ in range(12)), " ".join(word() for _ in range(18))
+    made = [(d, " ".join(word() for _ in range(9)) + (short if d % 3 else long_) + rng.choice(["x" * 30, "y" * 40, ""]) + " ".join(word() for _ in range(9))) for d in range(5000, 5060)]
+    made = spark.createDataFrame(made, "doc_id long, text string").repartition(4).unionByName(docs.select("doc_id", "text")).cache()
+    want = rows(suffix_dedup.report(made))
+    monkeypatch.setattr(suffix_dedup, "LEAVES", 1)
+    got = rows(suffix_dedup.report(made))
+    assert sum(x["n_removed"] > 0 for x in want.values()) > 30
+    assert got == want
+
+
+def test_suffix_dedup_of_equal_rows(spark):
+    text = " ".join(str(n * n) for n in range(90))
+    made = [(4, text), (4, text), (4, text), (None, text[:300] + "q"), (None, text[:300] + "q"), (9, "z" + text)]
+    got = suffix_dedup.report(spark.createDataFrame(made, "doc_id long, text string").repartition(3)).collect()
+    assert sorted((x["doc_id"] or 99, x["n_removed"]) for x in got) == [(4, 0)] * 3 + [(9, len(text)), (99, 300), (99, 300)]
+
+
 def test_quality_counts(docs, texts, empty):
     got = rows(quality.report(docs))
     for d, t in texts.items():
