@@ -7,6 +7,7 @@ State: the table of (key, document) pairs is exact; the reference counts (key, r
 cuckoo filter per shard of the keys holds those that are shared. A batch probes the filters first, so that only lines
 that may be shared (and a few in ten thousand others) meet the exact table, which decides. `LineStore` keeps the state
 between batches: inserting documents and deleting them changes counts, owners and filters, so dedup stays reversible.
+A shard's filter that gets too full is built anew from the exact counts, and all are when the keys need more shards.
 
 Scale: keys are 128-bit digests; counting is a pre-aggregated group-by, so a line that a third of the documents hold is
 no hot task; the join with the exact table has one row a key on one side, whose hot partitions AQE splits. Filters take
@@ -110,6 +111,10 @@ class Cuckoo:
                 return
         raise OverflowError("the filter is too full")
 
+    def has_room(self, more: int) -> bool:
+        """Whether so many more keys leave it no fuller than of_size makes it."""
+        return np.count_nonzero(self.table) + more <= 0.8 * self.table.size
+
     def delete(self, k1: np.ndarray, k2: np.ndarray) -> "Cuckoo":
         """Without the keys, which must have been inserted."""
         f, a, b = self._places(k1, k2)
@@ -165,9 +170,8 @@ def reference_counts(pairs: DataFrame) -> DataFrame:
     return pairs.groupBy("k1", "k2").agg(F.count("*").alias("refs"), F.min("doc").alias("owner"), F.max("doc").alias("last"))
 
 
-def filters(shared: DataFrame, keys: int) -> DataFrame:
-    """(shard, table): a cuckoo filter for each shard of the shared keys (k1, k2)."""
-    n = max(1, -(-keys // SHARD_KEYS))
+def filters(shared: DataFrame, n: int) -> DataFrame:
+    """(shard, table): a cuckoo filter for each of n shards of the shared keys (k1, k2)."""
     schema = arrow_schema("shard int, table binary")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -181,6 +185,10 @@ def filters(shared: DataFrame, keys: int) -> DataFrame:
     return dealt.mapInArrow(run, "shard int, table binary")
 
 
+def _shards(keys: int) -> int:
+    return max(1, -(-keys // SHARD_KEYS))
+
+
 def _shard(n: int) -> F.Column:
     return F.pmod(F.col("k1"), F.lit(n)).cast("int")
 
@@ -214,8 +222,8 @@ def _drops(pairs: DataFrame, shared: DataFrame) -> DataFrame:
     """(doc, drops): the keys that a document loses, as k1, k2, k1, k2 ..."""
     keys = shared.count()
     if keys and 2.7 * 2 * keys <= FILTER_BYTES:
-        n = max(1, -(-keys // SHARD_KEYS))
-        tables = {r.shard: bytes(r.table) for r in filters(shared, keys).collect()}  # bounded by FILTER_BYTES
+        n = _shards(keys)
+        tables = {r.shard: bytes(r.table) for r in filters(shared, n).collect()}  # bounded by FILTER_BYTES
         pairs = probe(pairs, {k: tables.get(k, Cuckoo.of_size(0).pack()) for k in range(n)})
     lost = pairs.join(shared.select("k1", "k2", "owner"), ["k1", "k2"]).where("owner < doc")
     return lost.groupBy("doc").agg(F.flatten(F.collect_list(F.array("k1", "k2"))).alias("drops"))
@@ -294,22 +302,40 @@ class LineStore:
         self.pairs = stored(pairs, "pairs")
         counts = stored(reference_counts(self.pairs), "counts")
         now, was = (x.where("owner < last").select("k1", "k2") for x in (counts, self.counts))
+        if (need := _shards(now.count())) > self.shards:
+            self.shards = max(need, 2 * self.shards)  # doubled, so that all filters are seldom built anew
+            tables = filters(now, self.shards)
+        else:
+            tables = self._updated(now, was)
+        self.filters, self.counts = stored(tables, "filters"), counts
+
+    def _updated(self, now: DataFrame, was: DataFrame) -> DataFrame:
+        """The filters after the shared keys have changed; one that has no room is built anew from the keys of now."""
         n = self.shards
         change = now.join(was, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False))).withColumn("shard", _shard(n))
 
         def update(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-            table = Cuckoo.unpack(old["table"].iloc[0]) if len(old) else Cuckoo.of_size(SHARD_KEYS // 64)
             out, add = new[~new["add"]], new[new["add"]]
-            table.delete(out["k1"].to_numpy(), out["k2"].to_numpy()).insert(add["k1"].to_numpy(), add["k2"].to_numpy())
-            return pd.DataFrame({"shard": [key[0]], "table": [table.pack()]})
+            table = Cuckoo.unpack(old["table"].iloc[0]) if len(old) else Cuckoo.of_size(len(add))
+            table.delete(out["k1"].to_numpy(), out["k2"].to_numpy())
+            try:
+                packed = table.insert(add["k1"].to_numpy(), add["k2"].to_numpy()).pack() if table.has_room(len(add)) else None
+            except OverflowError:
+                packed = None
+            return pd.DataFrame({"shard": [key[0]], "table": [packed]})
 
-        self.filters = stored(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, "shard int, table binary"), "filters")
-        self.counts = counts
+        tables = stored(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, "shard int, table binary"), "changed-filters")
+        full = [r.shard for r in tables.where("table is null").select("shard").collect()]  # one number a shard
+        if not full:
+            return tables
+        return tables.where("table is not null").unionByName(filters(now.where(_shard(n).isin(full)), n))
 
     def dedup(self, docs: DataFrame) -> DataFrame:
         """The documents, which must be inserted, without the lines that other documents own."""
-        tables = {r.shard: bytes(r.table) for r in self.filters.collect()}
-        pairs = probe(line_pairs(docs).distinct(), {k: tables.get(k, Cuckoo.of_size(0).pack()) for k in range(self.shards)})
+        pairs = line_pairs(docs).distinct()
+        if (self.filters.agg(F.sum(F.length("table"))).head()[0] or 0) <= FILTER_BYTES:
+            tables = {r.shard: bytes(r.table) for r in self.filters.collect()}  # bounded by FILTER_BYTES
+            pairs = probe(pairs, {k: tables.get(k, Cuckoo.of_size(0).pack()) for k in range(self.shards)})
         lost = pairs.join(self.counts, ["k1", "k2"]).where("owner < doc")
         return dedup(docs, lost.groupBy("doc").agg(F.flatten(F.collect_list(F.array("k1", "k2"))).alias("drops")))
 

@@ -165,6 +165,37 @@ def test_cuckoo_filter():
     assert f.contains(k1[10_000:], k2[10_000:]).all() and f.contains(k1[:10_000], k2[:10_000]).mean() < 0.01
 
 
+def _deduped(held):
+    """Brute force: the documents without the lines that a smaller doc_id holds."""
+    owner, out = {}, {}
+    for d in sorted(held):
+        for x in set(held[d].lower().split("\n")):
+            owner.setdefault(x, d)
+        out[d] = "\n".join(x for x in held[d].split("\n") if len(x) < 10 or owner[x.lower()] == d)
+    return out
+
+
+@pytest.mark.parametrize(("shard_keys", "filter_bytes"), [(1 << 20, 64 << 20), (5000, 64 << 20), (1 << 20, 0)])
+def test_line_store_beyond_its_first_filters(spark, monkeypatch, shard_keys, filter_bytes):
+    monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
+    monkeypatch.setattr(line_dedup, "FILTER_BYTES", filter_bytes)
+    lines = lambda a, b: "\n".join(f"Line number {k} of many" for k in range(a, b))
+    frame = lambda held: spark.createDataFrame(list(held.items()), "doc_id long, text string")
+    store, held = line_dedup.LineStore(spark, shards=1), {}
+    got = lambda: {r.doc_id: r.text for r in store.dedup(frame(held)).collect()}
+    for batch in ({1: lines(0, 9000), 2: lines(5000, 9000) + "\nshort\nown line of 2"}, {3: lines(4000, 40_000), 4: lines(0, 40_000) + "\nshort"}):
+        held |= batch
+        store.insert(frame(batch))
+        assert got() == _deduped(held)
+    del held[1], held[3]
+    store.delete(spark.createDataFrame([(1,), (3,)], "doc_id long"))
+    assert got() == _deduped(held)
+    held |= {2: lines(30_000, 41_000), 5: lines(0, 500)}
+    store.insert(frame({d: held[d] for d in (2, 5)}))
+    assert got() == _deduped(held)
+    assert (store.shards > 1) == (shard_keys == 5000)
+
+
 def test_suffix_dedup(docs, texts, empty):
     raws = {d: (t or "").encode() for d, t in texts.items()}
     seen, gone = set(), {d: set() for d in raws}
