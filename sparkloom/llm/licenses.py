@@ -2,14 +2,17 @@
 
 A text's canonical form has lower case, no copyright lines, equivalent spellings made one, and only its letters and
 digits: neither punctuation nor white space, so that wrapping, hyphens and comment marks do not matter. Its SHA-256 is
-looked up among the digests of known licences by a hash join. Entire texts are looked up: the whole document, and each
-paragraph and line of it as a text of its own, since notices stand in documents as lines. A paragraph ends at a line
-without letters or digits; a copyright line goes with its line break and ends none.
+looked up among the digests of known licences by a hash join. Entire texts are looked up: the whole document, each run
+of consecutive paragraphs, since licences stand among prose, and each line, as notices do. A paragraph ends at a line
+without letters or digits; a copyright line goes with its line break and ends none. ORACLE knows REGISTRY without the
+full texts, and single paragraphs: it is right only for tables where neither full texts nor longer runs matter.
 
 Scale: texts are scanned once and normalised once; parts are cut out of the normalised text. Only parts whose canonical
 length some known licence has are hashed, and of those only what the join finds goes into the one shuffle, besides a
-row of ids per document. The known digests (REGISTRY, or a parameter table) are the small side, a few dozen rows of 64
-bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests, where a notice that many documents hold is
+row of ids per document. Runs are found by where paragraphs start and end: for each known length, the starts moved by it
+are intersected with the ends, in proportion to the paragraphs; with more than MOST_LENGTHS lengths each pair of a
+start and an end is looked at. The known digests (known_texts, or a parameter table) are the small side, some dozen rows
+of 64 bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests, where a notice that many documents hold is
 left to the planner's skew join.
 
 Edge cases: null and empty texts, and texts without letters or digits, have no licence; equal lines of a text count once;
@@ -18,6 +21,9 @@ repeated rows each get a row; other columns are ignored; an empty table gives no
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -63,6 +69,31 @@ REGISTRY = (
     ("CC0-1.0", "Released under CC0 1.0."),
 )
 
+#: Full texts, as (identifier)[+variant].txt. Those of the GPL family do not say whether later versions are granted.
+TEXTS = Path(__file__).parent / "license_texts"
+#: What some copies leave out: the text before the first pattern (titles, addresses), and from the second on (appendices).
+_GNU = ("Preamble\n", r"(?<=END OF TERMS AND CONDITIONS)\s")
+_CC = ("By exercising the Licensed Rights", r"=+\s+Creative Commons is not a party")
+CUTS = {"Apache-2.0": ("TERMS AND CONDITIONS FOR USE", _GNU[1]), "GPL-2.0-only": _GNU, "GPL-3.0-only": _GNU, "LGPL-2.1-only": _GNU, "LGPL-3.0-only": ("This version of the GNU", None), "MPL-2.0": (r"1\. Definitions", r"Exhibit A -"), "CC0-1.0": ("Statement of Purpose", None), "CC-BY-4.0": _CC, "CC-BY-SA-4.0": _CC, "Unlicense": (None, "For more information")}
+
+
+def known_texts() -> tuple[tuple[str, str], ...]:
+    """REGISTRY and the full texts, with and without what copies leave out."""
+    out = list(REGISTRY)
+    for path in sorted(TEXTS.glob("*.txt")):
+        name, text = path.stem.partition("+")[0], path.read_text("utf-8")
+        if name.startswith("BSD"):  # items with numbers or bullets, with or without the title
+            title = f"BSD {name[4]}-Clause License\n\n"
+            out += [(name, head + body) for head in ("", title, "The " + title) for body in (text, re.sub(r"(?m)^\s*\d\. ", "* ", text))]
+            continue
+        first, last = (x and re.search(x, text) for x in CUTS[name])
+        for a in {0, first.start() if first else 0}:
+            for b in {len(text), last.start() if last else len(text)}:
+                out.append((name, text[a:b]))
+                if "[yyyy]" in text[a:b]:  # as it is where a copyright line has been filled in
+                    out.append((name, re.sub(r"\n *Copyright \[yyyy\][^\n]*", "", text[a:b])))
+    return tuple(out)
+
 
 def normalised(text: Column) -> Column:
     """The canonical form with the text's line breaks still in it."""
@@ -85,12 +116,32 @@ def digest(text: Column) -> Column:
     return F.sha2(text.cast("binary"), 256)
 
 
-def known_digests(spark: SparkSession, registry: tuple[tuple[str, str], ...] = REGISTRY) -> DataFrame:
-    """(license, digest, chars): the canonical digests of known texts, and the lengths of their canonical forms."""
-    rows = spark.createDataFrame(list(registry), "license string, text string")
+def known_digests(spark: SparkSession, registry: tuple[tuple[str, str], ...] | None = None) -> DataFrame:
+    """(license, digest, chars): the canonical digests of known texts (known_texts() by default), and the lengths of their canonical forms."""
+    rows = spark.createDataFrame(list(known_texts() if registry is None else registry), "license string, text string")
     return rows.select("license", canonical(F.col("text")).alias("form")).where("form <> ''").groupBy(digest(F.col("form")).alias("digest")).agg(F.min("license").alias("license"), F.max(F.length("form")).alias("chars"))
 
 
+def _running_sums(x: Column) -> Column:
+    """The sums of an array's beginnings, in rounds that double the reach of each."""
+    reaches = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda r: r < F.size(x))
+    return F.aggregate(reaches, x, lambda sums, r: F.transform(sums, lambda s, i: s + F.coalesce(F.get(sums, F.when(i >= r, i - r)), F.lit(0))))
+
+
+def _runs(lengths: list[int] | None, known: DataFrame, most: int) -> Column:
+    """The runs of consecutive paragraphs that are as long as a known text; joined, starts and ends are columns."""
+    if lengths is not None:
+        some = F.filter(F.array(*[F.lit(n) for n in lengths or [-1]]), lambda n: n <= F.length("joined"))
+        runs = F.transform(some, lambda n: F.transform(F.array_intersect(F.transform(F.col("starts"), lambda s: s + n), F.col("ends")), lambda e: F.struct((e - n).alias("s"), n.alias("n"))))
+    else:
+        held = bytearray(most + 1)
+        for r in known.select("chars").distinct().collect():  # at most as many as the longest text has characters
+            held[r.chars] = 1
+        fits = lambda n: n.between(1, most) & (F.substring(F.lit(bytes(held)), n + 1, F.lit(1)) == F.lit(b"\x01"))
+        runs = F.transform(F.array_distinct("starts"), lambda s: F.transform(F.filter(F.array_distinct("ends"), lambda e: fits(e - s)), lambda e: F.struct(s.alias("s"), (e - s).alias("n"))))
+    return F.transform(F.flatten(runs), lambda x: F.substring(F.col("joined"), x["s"] + 1, x["n"]))
+
+
 def _looked_up(docs: DataFrame, known: DataFrame | None) -> DataFrame:
     """scan(), and for each row of docs one more row whose part is empty."""
     known = stored(known_digests(docs.sparkSession) if known is None else known.select("license", "digest", "chars"), "licenses")
@@ -100,22 +151,28 @@ def _looked_up(docs: DataFrame, known: DataFrame | None) -> DataFrame:
     fits = lambda x: F.length(x).between(least or 0, most or 0) if lengths is None else F.array_contains(F.lit(lengths or [-1]), F.length(x))
     own = lambda kind, parts: F.transform(F.filter(parts, fits), lambda x: F.struct(F.lit(kind).alias("part"), digest(x).alias("digest")))
     rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col("doc_id").cast("long").alias("doc_id"), normalised(F.coalesce(F.col("text").cast("string"), F.lit(""))).alias("form"))
+    rows = rows.select("*", _joined(F.col("form")).alias("joined"), F.transform(F.split("form", "\n\n+"), _joined).alias("paragraphs"))
+    rows = rows.withColumn("sizes", F.transform("paragraphs", F.length))
+    # a single paragraph needs no sums, nor does a text that is shorter than all known ones
+    several = (F.size("sizes") > 1) & (F.length("joined") >= F.lit(least or 0))
+    rows = rows.withColumn("ends", F.when(several, _running_sums(F.col("sizes")))).withColumn("starts", F.zip_with("ends", "sizes", lambda e, n: e - n))
+    runs = F.when(F.col("ends").isNotNull(), _runs(lengths, known, most or 0)).otherwise(F.array().cast("array<string>"))
     # the row that every document has gets a key of its own, which is no digest: no key is hot by it
     every = F.array(F.struct(F.lit("").alias("part"), F.col("row").cast("string").alias("digest")))
-    parts = F.concat(every, own("text", F.array(_joined(F.col("form")))), own("paragraph", F.transform(F.split("form", "\n\n+"), _joined)), own("line", F.array_distinct(F.split("form", "\n"))))
+    parts = F.concat(every, own("text", F.array(F.col("joined"))), own("paragraph", F.col("paragraphs")), own("paragraph", runs), own("line", F.array_distinct(F.split("form", "\n"))))
     at = rows.select("row", "doc_id", F.explode(parts).alias("x")).select("row", "doc_id", "x.part", "x.digest")
     side = known.select("digest", "license")
     return at.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "digest", "left").where("part = '' or license is not null").select("row", "doc_id", "part", "license", "digest")
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """row, doc_id, part (text, paragraph or line), license, digest of each known text found; row is a number per row of docs.
+    """row, doc_id, part (text, paragraph for a run of paragraphs, or line), license, digest of each known text found; row is a number per row of docs.
     known: (license, digest, chars), as known_digests gives it."""
     return _looked_up(docs, known).where("part <> ''").distinct()
 
 
 def report(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
-    """doc_id, license (of the entire text, or null), notices (licences of its paragraphs and lines, sorted, comma-joined), n_notices."""
+    """doc_id, license (of the entire text, or null), notices (licences of its paragraphs, runs of them, and lines, sorted, comma-joined), n_notices."""
     found = _looked_up(docs, known).groupBy("row", "doc_id").agg(F.min(F.when(F.col("part") == "text", F.col("license"))).alias("license"), F.sort_array(F.collect_set("license")).alias("all"))
     return found.select("doc_id", "license", F.array_join("all", ",").alias("notices"), F.size("all").cast("long").alias("n_notices"))
 

@@ -279,6 +279,24 @@ def test_license_forms(spark, monkeypatch):
     assert {(r.doc_id, r.part) for r in licenses.scan(docs).collect()} >= {(1, "text"), (6, "paragraph"), (7, "line"), (7, "paragraph")}
 
 
+@pytest.mark.parametrize("broadcast_rows", [100_000, 0])
+def test_full_licenses_among_paragraphs(spark, monkeypatch, broadcast_rows):
+    monkeypatch.setattr(licenses, "BROADCAST_ROWS", broadcast_rows)
+    read = lambda name: (licenses.TEXTS / f"{name}.txt").read_text()
+    names = ["Apache-2.0", "BSD-2-Clause", "BSD-3-Clause", "CC-BY-4.0", "CC-BY-SA-4.0", "CC0-1.0", "GPL-2.0-only", "GPL-3.0-only", "LGPL-2.1-only", "LGPL-3.0-only", "MPL-2.0", "Unlicense"]
+    mit, bsd, gpl = licenses.REGISTRY[0][1], read("BSD-3-Clause"), read("GPL-2.0-only")
+    texts = {k: (read(name), (name, name)) for k, name in enumerate(names)}
+    texts |= {100 + k: (f"Prose é above.\n\nMore.\n\n{read(name)}\n\nprose below\n\n\nend", (None, name)) for k, name in enumerate(names)}
+    texts |= {
+        200: ("above\n\n" + mit + "\n\nbelow\n\n" + bsd + "\n----\n" + mit, (None, "BSD-3-Clause,MIT")), 201: ("\n\nCopyright (c) 2020 X\nAll rights reserved.\n\n" + bsd.replace("\n\n", "\n").replace("1. ", "* ").replace("2. ", "* ").replace("3. ", "* "), ("BSD-3-Clause", "BSD-3-Clause")),
+        202: ("Title\n\n" + gpl[gpl.index("Preamble") : gpl.index("How to Apply")], (None, "GPL-2.0-only")), 203: (read("Apache-2.0").replace("[yyyy] [name of copyright owner]", "2021 Someone"), ("Apache-2.0", "Apache-2.0")),
+        204: ("above\n\n" + mit.replace("without restriction", "with restriction") + "\n\nbelow", (None, "")), 205: ("x\n\n" * 3000 + mit + "\n\ny" * 3000, (None, "MIT")), 206: ("above " + mit + "\n\nbelow", (None, "")),
+    }
+    docs = spark.createDataFrame([(d, t) for d, (t, _) in texts.items()], "doc_id long, text string")
+    got = {d: (r.license, r.notices) for d, r in rows(licenses.report(docs)).items()}
+    assert got == {d: want for d, (_, want) in texts.items()}
+
+
 def test_html(spark):
     page = "<html><head><title>t</title><style>p{}</style></head><body><p>One<p>Two &amp; <b>three</b><ul><li>a<li>b</ul><table><tr><td>x<td>yy<tr><td>long<td>z</table><div hidden>no</div><div style='display:none'>no</div><script>no</script>"
     text = html_text.to_text(page)
