@@ -29,7 +29,7 @@ from .common import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 H, MIN_GROUP, STEPS = 0.75, 50, 2
-#: Rejected ids up to so many are broadcast (8 bytes each) rather than shuffled with the texts.
+#: Digests of rejected rows up to so many are broadcast (16 bytes each) rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
 #: Groups up to so many have their sizes, quartiles and estimates broadcast (half a KB each) to the rows.
 BROADCAST_GROUPS = 10_000
@@ -39,12 +39,18 @@ FEATURES = ("f_length", "f_symbol", "f_line", "f_repeat", "f_upper", "f_mark")
 FLOOR = (0.08, 0.25, 0.06, 0.05, 0.25, 0.25)
 
 
+def _content(docs: DataFrame) -> list[Column]:
+    """Two digests of what a row is judged by: rows that are equal in it have one verdict."""
+    parts = [F.coalesce(docs[c].cast("string"), F.lit("")) for c in ("lang", "source", "text")]
+    return [F.xxhash64(*parts).alias("row1"), F.xxhash64(F.lit(1), *parts).alias("row2")]
+
+
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
-    """Per row: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the further counts of the outlier test."""
+    """Per row: row1, row2 (digests of its content), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the further counts of the outlier test."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"))
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"), *_content(docs))
     at = at.select(
-        "doc_id", "lang", "source",
+        "doc_id", "lang", "source", "row1", "row2",
         (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count("text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count("text", F.lit("[A-Z]")).cast("long").alias("n_upper"),
@@ -140,7 +146,8 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame) -> DataFrame:
-    """docs without the rows that the rules reject; all columns stay. A doc_id that comes twice goes if either row is rejected; a null doc_id stays."""
-    gone = stored(judged(docs).where("not kept").select("doc_id").distinct(), "rejected")
+    """docs without the rows that the rules reject, each by its own verdict; all columns stay."""
+    gone = stored(judged(docs).where("not kept").select("row1", "row2").distinct(), "rejected")
     side = F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone
-    return docs.join(side, docs["doc_id"].cast("long") == side["doc_id"], "left_anti").select(*[docs[f"`{c}`"] for c in docs.columns])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), *_content(docs))
+    return packed.join(side, ["row1", "row2"], "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])

@@ -245,6 +245,14 @@ def test_quality_counts(docs, texts, empty):
     assert quality.report(empty).count() == 0
 
 
+def test_quality_keeps_and_rejects_rows_not_ids(spark):
+    good = "twelve plain words of which none comes twice in this short line"
+    made = [(None, "too short", "en", "a"), (None, good, "en", "a"), (1, good, "en", "a"), (1, "too short", "en", "a"), (2, good, None, None), (2, good, None, None), (3, None, None, "a")]
+    made = spark.createDataFrame([(*x, k) for k, x in enumerate(made)], "doc_id long, text string, lang string, source string, `a.b` int")
+    got = quality.kept(made)
+    assert got.columns == made.columns and sorted(r["a.b"] for r in got.collect()) == [1, 2, 4, 5]
+
+
 def test_mcd_rejects_outliers(spark):
     rng = random.Random(2)
     words = [" ".join("".join(rng.choices("etaoinshr", k=rng.randint(2, 8))) for _ in range(80)) for _ in range(90)]
