@@ -2,17 +2,24 @@
 
 A tokenizer and a tree builder with implied tags (a paragraph ends where a block begins; list items, table rows and
 cells, options and definitions end where the next begins; an end tag closes what is open inside it) make a tree. The
-renderer walks it and emits all visible text: hidden are elements that browsers do not show (head, script, style,
-template and the like), those with the attribute hidden, with display:none or visibility:hidden in their style, and
-closed details but for their summary. Blocks stand on lines of their own, paragraphs, headings, lists and tables between
-blank lines; list items carry their mark and are indented by depth; cells of a table's column are aligned; white space
-is collapsed but in pre and textarea.
-
-Scale: one pass over the pages in Arrow batches, no shuffle; a task holds one page's tree at a time. Tree and walk use no
-recursion, so nesting does not exhaust the stack.
+renderer walks it and emits all visible text. Not shown are elements that browsers do not show (head, script, style,
+template, closed dialogs and the like), those with the attribute hidden or with display:none, and closed details but for
+their summary; visibility is inherited, so that a visible child of a hidden element is shown. Text of MathML and SVG is
+shown, without their annotations and definitions. Blocks stand on lines of their own, paragraphs, headings, lists and
+tables between blank lines; list items carry their mark and are indented by depth; cells of a table's column are aligned,
+with cells that span columns or rows in their places; white space is collapsed but in pre, xmp and textarea.
+
+Layout has bounds, so that output and time stay in proportion to the page; none of them drops text. A line is indented by
+MOST_INDENT columns at most, and no gap between cells is wider. Lines of a cell longer than WIDEST do not widen their
+column; they push what follows on their line. Columns beyond the MOST_COLUMNS-th are one. Tables of one column are set as
+blocks, as are tables inside DEEPEST tables of several columns.
+
+Scale: one pass over the pages in Arrow batches, no shuffle; a task holds one page's tree at a time, some 200 bytes an
+element, so a page of many MB is held by one task. Open elements are found by name, not by walking the stack, so the time
+is in proportion to the page whatever its nesting; only tables of several columns recurse, DEEPEST deep.
 
 Edge cases: null and empty pages give an empty text; broken markup always gives some tree; repeated rows each give a row;
-other columns are ignored.
+an empty table gives an empty result; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -20,6 +27,8 @@ from __future__ import annotations
 import html
 import re
 import unicodedata
+from bisect import bisect_right
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -28,48 +37,87 @@ from pyspark.sql import functions as F
 
 from .common import arrow_schema, slices
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)>?|([^<]+|<)", re.S)
-ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s"'=<>`]+)))?""")
+#: Comments and declarations; tags, whose quotes count only after an equals sign; text.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:"[^"]*+(?:"|\Z)|'[^']*+(?:'|\Z))?+)*+)>?|([^<]++|<)""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"?|'([^']*)'?|([^\s>"']\S*)))?""")
 #: Element names by what they do.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title xmp iframe noembed noframes".split())
-UNSEEN = frozenset("head script style template title noembed noframes iframe object embed svg math canvas audio video datalist meta link base param source track".split())
-BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption colgroup noscript".split())
-SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu table blockquote pre figure hr".split())
-CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption colgroup option optgroup li dd dt legend summary noscript".split()) | {"li", "dd", "dt"}
+UNSEEN = frozenset("head script style template title noembed noframes iframe object embed canvas audio video datalist meta link base param source track progress meter rp annotation annotation-xml desc defs metadata symbol clippath mask pattern marker".split())
+BLOCK = frozenset("address article aside blockquote body center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li listing main menu nav ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul caption colgroup noscript xmp".split())
+SPACED = frozenset("p h1 h2 h3 h4 h5 h6 ul ol dl menu dir table blockquote pre listing xmp figure hr".split())
+CLOSES_P = BLOCK - frozenset("body html td th tr tbody thead tfoot caption colgroup option optgroup legend summary noscript".split())
+EXACT = frozenset({"pre", "listing", "xmp", "textarea"})
+LISTS = frozenset({"ul", "ol", "menu", "dir"})
+HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+SECTIONS = frozenset({"tbody", "thead", "tfoot"})
+#: An end tag does not reach beyond these; a paragraph does not either beyond a button.
+SCOPE = ("table", "td", "th", "caption", "html", "template", "object", "marquee", "applet")
+_PARTS = ("tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup")
 #: An element that opens ends those open ones, up to a boundary.
 ENDS = {
-    "li": ({"li"}, {"ul", "ol", "menu", "dir"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "option": ({"option"}, {"select", "datalist"}), "optgroup": ({"option", "optgroup"}, {"select"}),
-    "tr": ({"tr", "td", "th", "caption", "colgroup"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
-    "tbody": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "thead": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}), "tfoot": ({"tbody", "thead", "tfoot", "tr", "td", "th", "caption", "colgroup"}, {"table"}),
+    "li": (("li",), ("ul", "ol", "menu", "dir", *SCOPE)), "dt": (("dt", "dd"), ("dl", *SCOPE)), "dd": (("dt", "dd"), ("dl", *SCOPE)),
+    "option": (("option",), ("select", "datalist", *SCOPE)), "optgroup": (("option", "optgroup"), ("select", *SCOPE)),
+    "tr": (("tr", "td", "th", "caption", "colgroup"), ("table",)), "td": (("td", "th"), ("tr", "table")), "th": (("td", "th"), ("tr", "table")), "caption": (_PARTS, ("table",)),
+    **dict.fromkeys(("tbody", "thead", "tfoot"), (_PARTS, ("table",))),
 }
-#: An end tag does not reach beyond these.
-SCOPE = frozenset({"table", "td", "th", "caption", "html"})
-HIDDEN = re.compile(r"(?:^|;)\s*(?:display\s*:\s*none|visibility\s*:\s*(?:hidden|collapse))", re.I)
+NO_DISPLAY = re.compile(r"(?:^|;)\s*display\s*:\s*none", re.I)
+VISIBILITY = re.compile(r"(?:^|;)\s*visibility\s*:\s*(visible|hidden|collapse)", re.I)
 SPACE = re.compile(r"[ \t\n\f\r]+")
-HEADINGS = frozenset({"h1", "h2", "h3", "h4", "h5", "h6"})
+#: Input fields that show their value.
+SHOWN_INPUTS = frozenset(("", "text", "search", "email", "url", "tel", "number", "submit", "button", "reset"))
+MOST_INDENT, WIDEST, DEEPEST = 200, 100, 12
+#: What the HTML standard lets a cell span.
+MOST_COLUMNS, MOST_ROWS = 1000, 65_534
+_NONE: dict[str, str] = {}
 
 
 class Node:
     __slots__ = ("attributes", "children", "name")
 
-    def __init__(self, name: str, attributes: dict[str, str]):
+    def __init__(self, name: str, attributes: dict[str, str] = _NONE):
         self.name, self.attributes, self.children = name, attributes, []
 
 
 def attributes(text: str) -> dict[str, str]:
-    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(text)))} if text.strip(" \t\n\r\f/") else {}
+    return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(ATTRIBUTE.finditer(text)))} if text.strip(" \t\n\r\f/") else _NONE
+
+
+class Open:
+    """The open elements, and where each name stands among them."""
+
+    def __init__(self) -> None:
+        self.nodes, self.at = [Node("#root")], defaultdict(list)
+
+    def push(self, node: Node) -> None:
+        self.at[node.name].append(len(self.nodes))
+        self.nodes.append(node)
+
+    def cut(self, k: int) -> None:
+        """Close all from the k-th on."""
+        while len(self.nodes) > k:
+            self.at[self.nodes.pop().name].pop()
+
+    def last(self, *names: str) -> int:
+        """Where the innermost of these stands, or 0."""
+        return max((a[-1] for n in names if (a := self.at.get(n))), default=0)
+
+    def first_after(self, k: int, names: tuple[str, ...]) -> int:
+        """Where the outermost of these inside the k-th stands, or 0."""
+        return min((a[i] for n in names if (a := self.at.get(n)) and (i := bisect_right(a, k)) < len(a)), default=0)
+
+    def add(self, child: Node | str) -> None:
+        self.nodes[-1].children.append(child)
 
 
 def parse(page: str) -> Node:
     """The tree of a page, whatever the page."""
-    root = Node("#root", {})
-    stack, at, n = [root], 0, len(page)
+    stack, at, n = Open(), 0, len(page)
     while at < n:
         m = TOKEN.match(page, at)
         at = m.end()
         if m[4] is not None:
-            stack[-1].children.append(html.unescape(m[4]) if "&" in m[4] else m[4])
+            stack.add(html.unescape(m[4]) if "&" in m[4] else m[4])
             continue
         if m[2] is None:
             continue
@@ -78,65 +126,57 @@ def parse(page: str) -> Node:
             _close(stack, name)
             continue
         _imply(stack, name)
-        node = Node(name, attributes(m[3]) if m[3] else {})
-        stack[-1].children.append(node)
+        node = Node(name, attributes(m[3]) if m[3] else _NONE)
+        stack.add(node)
         if name in RAW:
             end = re.compile(rf"</{name}(?=[\s/>])[^>]*>?", re.I).search(page, at)
             body = page[at : end.start() if end else n]
             node.children.append(html.unescape(body) if name in ("textarea", "title") else body)
             at = end.end() if end else n
-        elif name not in VOID:
-            stack.append(node)
-    return root
+        elif name not in VOID and not (m[3].endswith("/") and stack.last("svg", "math")):
+            stack.push(node)
+    return stack.nodes[0]
 
 
-def _imply(stack: list[Node], name: str) -> None:
+def _imply(stack: Open, name: str) -> None:
     """Close what an opening tag ends, and open what it implies."""
-    if name in CLOSES_P:
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name == "p":
-                del stack[k:]
-                break
-            if stack[k].name in SCOPE or stack[k].name == "button":
-                break
+    if name in CLOSES_P and (p := stack.last("p")) > stack.last("button", *SCOPE):
+        stack.cut(p)
     if name in ENDS:
         ends, edge = ENDS[name]
-        cut = None
-        for k in range(len(stack) - 1, 0, -1):
-            if stack[k].name in ends:
-                cut = k
-            elif stack[k].name in edge:
-                break
-        if cut is not None:
-            del stack[cut:]
-    if name in HEADINGS and stack[-1].name in HEADINGS:
-        stack.pop()
-    if name == "body" and any(x.name == "head" for x in stack):
+        if k := stack.first_after(stack.last(*edge), ends):
+            stack.cut(k)
+    if name in HEADINGS and stack.nodes[-1].name in HEADINGS:
+        stack.cut(len(stack.nodes) - 1)
+    if name == "body" and stack.last("head"):
         _close(stack, "head")
-    if name in ("td", "th") and stack[-1].name in ("table", "tbody", "thead", "tfoot"):
-        row = Node("tr", {})
-        stack[-1].children.append(row)
-        stack.append(row)
-    if stack[-1].name == "head" and name not in UNSEEN and name not in ("html", "noscript"):
-        stack.pop()
-
-
-def _close(stack: list[Node], name: str) -> None:
-    for k in range(len(stack) - 1, 0, -1):
-        if stack[k].name == name:
-            del stack[k:]
-            return
-        if stack[k].name in SCOPE and name not in ("table", "tr", "tbody", "thead", "tfoot", "body", "html"):
-            return
-    if name == "p":
-        stack[-1].children.append(Node("p", {}))
-    elif name == "br":
-        stack[-1].children.append(Node("br", {}))
+    if name in ("td", "th") and (stack.nodes[-1].name == "table" or stack.nodes[-1].name in SECTIONS):
+        row = Node("tr")
+        stack.add(row)
+        stack.push(row)
+    if stack.nodes[-1].name == "head" and name not in UNSEEN and name not in ("html", "noscript"):
+        stack.cut(len(stack.nodes) - 1)
+
+
+def _close(stack: Open, name: str) -> None:
+    edge = () if name in ("table", "body", "html") else ("table",) if name in _PARTS else [x for x in SCOPE if x != name]
+    if (k := stack.last(name)) > stack.last(*edge):
+        stack.cut(k)
+    elif name in ("p", "br"):
+        stack.add(Node(name))
 
 
-def visible(node: Node) -> bool:
+def displayed(node: Node) -> bool:
     a = node.attributes
-    return node.name not in UNSEEN and not (a and ("hidden" in a or ("style" in a and HIDDEN.search(a["style"])) or (node.name == "input" and a.get("type", "").lower() == "hidden")))
+    if node.name in UNSEEN or (node.name == "dialog" and "open" not in a):
+        return False
+    return not a or not ("hidden" in a or ("style" in a and NO_DISPLAY.search(a["style"])) or (node.name == "input" and a.get("type", "").lower() == "hidden"))
+
+
+def shown(node: Node, inherited: bool) -> bool:
+    """Whether the text in a displayed element is visible."""
+    said = VISIBILITY.findall(node.attributes["style"]) if "style" in node.attributes else ()
+    return said[-1].lower() == "visible" if said else inherited
 
 
 class Page:
@@ -144,26 +184,42 @@ class Page:
 
     def __init__(self) -> None:
         self.lines: list[str] = []
-        self.now, self.blank, self.mark, self.indent = "", False, "", ""
+        self.parts: list[str] = []  # of what is not ended yet, none of them empty
+        self.blank, self.mark, self.indent = False, "", 0
 
     def text(self, s: str) -> None:
         s = SPACE.sub(" ", s)
-        if not self.now or self.now.endswith((" ", "\n")):
+        if not self.parts or self.parts[-1][-1] in " \n":
             s = s.lstrip(" ")
-        self.now += s
+        self.exact(s)
 
     def exact(self, s: str) -> None:
-        self.now += s
+        if s:
+            self.parts.append(s)
+
+    def line_break(self) -> None:
+        while self.parts:
+            if last := self.parts.pop().rstrip(" "):
+                self.parts += last, "\n"
+                break
 
     def end_line(self) -> None:
-        if line := self.now.rstrip(" "):
-            if self.blank and self.lines:
-                self.lines.append("")
-            lead = self.indent[: -len(self.mark)] + self.mark if self.mark else self.indent
-            for k, x in enumerate(line.split("\n")):
-                self.lines.append((lead if not k else self.indent) + x if x else "")
-            self.blank, self.mark = False, ""
-        self.now = ""
+        text = "".join(self.parts).rstrip(" ")
+        self.parts = []
+        if text.endswith("\n"):  # a break at the end of a block shows nothing
+            text = text[:-1].rstrip(" ")
+        if text:
+            self.add(text.split("\n"))
+
+    def add(self, lines: list[str]) -> None:
+        if not lines:
+            return
+        if self.blank and self.lines:
+            self.lines.append("")
+        room = " " * min(self.indent, MOST_INDENT)
+        for k, x in enumerate(lines):
+            self.lines.append(((room[: -len(self.mark)] + self.mark if self.mark and not k else room) + x) if x else "")
+        self.blank, self.mark = False, ""
 
     def gap(self) -> None:
         self.end_line()
@@ -175,143 +231,178 @@ def width(text: str) -> int:
     return len(text) if text.isascii() else sum(0 if unicodedata.combining(c) else 1 + (unicodedata.east_asian_width(c) in "WF") for c in text)
 
 
-def table_lines(node: Node) -> list[str]:
-    """The rows of a table with its columns aligned; a table inside a cell is rendered there, on the cell's lines."""
-    rows: list[list[list[str]]] = []
-    captions: list[str] = []
-    todo = [iter(node.children)]
-    while todo:  # rows in order, wherever the table's parts hold them
-        x = next(todo[-1], None)
-        if x is None:
-            todo.pop()
-        elif isinstance(x, str):
-            if x.strip():
-                captions.append(SPACE.sub(" ", x).strip())
-        elif visible(x):
-            if x.name == "tr":
-                cells = []
-                for c in x.children:
-                    if isinstance(c, Node) and visible(c) or isinstance(c, str) and c.strip():
-                        own = c if isinstance(c, Node) and c.name in ("td", "th") else _cell(c)
-                        span = own.attributes.get("colspan", "1")
-                        cells.append(render(own).split("\n"))
-                        cells += [[""]] * (min(int(span), 1000) - 1 if span.isascii() and span.isdigit() and int(span) > 1 else 0)
-                if any(line for c in cells for line in c):
-                    rows.append(cells)
-            elif x.name in ("tbody", "thead", "tfoot"):
-                todo.append(iter(x.children))
-            elif text := render(_cell(x)):
-                captions += text.split("\n")
-    wide = [max((width(line) for row in rows if len(row) > k for line in row[k]), default=0) for k in range(max(map(len, rows), default=0))]
-    out = captions
-    for row in rows:
-        for k in range(max(map(len, row))):
-            cells = [(cell[k] if k < len(cell) else "") for cell in row]
-            out.append("  ".join(c + " " * (wide[i] - width(c)) for i, c in enumerate(cells)).rstrip())
-    return out
+Item = tuple[Node | str, bool]
 
 
-def _cell(child: Node | str) -> Node:
-    cell = Node("td", {})
-    cell.children.append(child)
-    return cell
+def _number(node: Node, name: str, most: int) -> int:
+    s = node.attributes.get(name, "1")
+    return max(1, min(int(s), most)) if s.isascii() and s.isdigit() and len(s) < 10 else 1
 
 
-DEEPEST = 40  # tables inside tables that are laid out; deeper ones are rendered as blocks
+def table_rows(table: Node, seen: bool) -> tuple[list[Item], list[list[Item]]]:
+    """What stands in a table outside its cells, and its rows' cells; each with whether its text is visible."""
+    loose: list[Item] = []
+    rows: list[list[Item]] = []
+    todo = [(iter(table.children), seen)]
+    while todo:  # rows in order, wherever the table's parts hold them
+        children, seen = todo[-1]
+        x = next(children, None)
+        if x is None:
+            todo.pop()
+        elif isinstance(x, str) or not displayed(x):
+            loose += [(x, seen)] if isinstance(x, str) else []
+        elif x.name == "tr":
+            now, own = [], shown(x, seen)
+            for c in x.children:
+                (now if isinstance(c, Node) and c.name in ("td", "th") else loose).append((c, own))
+            rows.append([c for c in now if displayed(c[0])])
+        elif x.name in SECTIONS or x.name == "form":
+            todo.append((iter(x.children), shown(x, seen)))
+        else:
+            loose.append((x, seen))
+    return loose, rows
+
+
+def table_lines(rows: list[list[Item]], depth: int) -> list[str]:
+    """The rows' lines with their columns aligned. A cell that spans rows stands in the first and keeps its place in the others."""
+    until: list[int] = []  # by column: the first row that is free again
+    placed: list[list[tuple[int, int, list[str]]]] = []
+    for r, cells in enumerate(rows):
+        at, now = 0, []
+        for cell, seen in cells:
+            while at < len(until) and until[at] > r:
+                at += 1
+            end = min(at + _number(cell, "colspan", MOST_COLUMNS), MOST_COLUMNS)
+            if (down := _number(cell, "rowspan", MOST_ROWS)) > 1 and at < end:
+                until += [0] * (end - len(until))
+                until[at:end] = [r + down] * (end - at)
+            lines = render([(c, shown(cell, seen)) for c in cell.children], depth)
+            if any(lines):
+                now.append((at, max(end, at + 1), lines))
+            at = max(at, end)
+        placed.append(now)
+    starts = sorted({at for now in placed for at, _, _ in now})  # columns without text take no room
+    wide = [0] * len(starts)
+    spans = []
+    for now in placed:
+        for at, end, lines in now:
+            a, b = bisect_right(starts, at) - 1, bisect_right(starts, end - 1)
+            need = max((w for w in map(width, lines) if w <= WIDEST), default=0)
+            if b - a == 1:
+                wide[a] = max(wide[a], need)
+            else:
+                spans.append((b - a, a, b, need))
+    for _, a, b, need in sorted(spans):
+        wide[b - 1] += max(0, need - sum(wide[a:b]) - 2 * (b - a - 1))
+    offset = {at: sum(wide[:k]) + 2 * k for k, at in enumerate(starts)}
+    out: list[str] = []
+    for now in placed:
+        height = max((len(lines) for _, _, lines in now), default=0)
+        parts: list[list[str]] = [[] for _ in range(height)]
+        reached = [0] * height
+        for at, _, lines in now:
+            for k, line in enumerate(lines):
+                if line:
+                    gap = min(max(offset[at] - reached[k], 2 if reached[k] else 0), MOST_INDENT)
+                    parts[k] += " " * gap, line
+                    reached[k] += gap + width(line)
+        out += ["".join(p).rstrip() for p in parts]
+    return out
 
 
-def render(node: Node, depth: list[int] = [0]) -> str:  # noqa: B006  how deep in tables the walk is, per process
-    """All visible text of a tree, laid out."""
+def render(items: list[Item], depth: int = 0) -> list[str]:
+    """The lines of all visible text of some elements, laid out. depth: tables of several columns around them."""
     page = Page()
     lists: list[list] = []  # [ordered, next number] of the open lists
-    pre = 0
-    todo: list[tuple[Node | str, bool]] = [(c, False) for c in reversed(node.children)]
+    exact: list[int] = []  # where the open preformatted elements begin among the page's parts
+    todo: list[tuple[Node | str, bool, bool]] = [(x, seen, False) for x, seen in reversed(items)]
     while todo:
-        x, leave = todo.pop()
+        x, seen, leave = todo.pop()
         if isinstance(x, str):
-            page.exact(x) if pre else page.text(x)
+            if seen:
+                page.exact(x) if exact else page.text(x)
             continue
         name = x.name
         if leave:
-            if name in ("pre", "textarea"):
-                pre -= 1
-                page.now = page.now.strip("\n")
-            if name in ("ul", "ol", "menu", "dir"):
+            if name in EXACT:
+                a = exact.pop()
+                page.parts[a:] = [own] if (own := "".join(page.parts[a:]).strip("\n")) else []
+            if name == "q" and seen:
+                page.exact("”")
+            if name in LISTS:
                 page.end_line()
                 lists.pop()
-                page.indent = page.indent[:-2] if not lists else page.indent
                 if not lists:
+                    page.indent -= 2
                     page.gap()
-                continue
-            if name == "li" or name == "dd":
+            elif name in ("li", "dd"):
                 page.end_line()
-                page.indent, page.mark = page.indent[: -(4 if name == "li" else 2)], ""
+                page.indent -= 4 if name == "li" else 2
+                page.mark = ""
             elif name in SPACED:
                 page.gap()
             elif name in BLOCK:
                 page.end_line()
+            elif name == "text":  # each of a drawing's texts has a place of its own
+                page.text(" ")
             continue
-        if not visible(x):
+        if not displayed(x):
             continue
+        seen = shown(x, seen)
         if name == "br":
-            if page.now.strip(" "):
-                page.now = page.now.rstrip(" ") + "\n"
-            continue
-        if name == "hr":
-            page.gap()
-            page.now = "---"
-            page.gap()
-            continue
-        if name == "img":
-            page.text(x.attributes.get("alt", ""))
-            continue
-        if name == "input":
-            if x.attributes.get("type", "").lower() in ("submit", "button", "reset"):
-                page.text(x.attributes.get("value", ""))
-            continue
-        if name == "table" and depth[0] < DEEPEST:
+            page.line_break()
+        elif name == "hr":
             page.gap()
-            depth[0] += 1
-            try:
-                lines = table_lines(x)
-            finally:
-                depth[0] -= 1
-            page.now = "\n".join(lines)
+            page.add(["---"] if seen else [])
             page.gap()
-            continue
-        children = x.children
-        if name == "details" and "open" not in x.attributes:
-            children = [c for c in children if isinstance(c, Node) and c.name == "summary"]
-        if name in ("ul", "ol", "menu", "dir"):
-            page.end_line() if lists else page.gap()
-            lists.append([name == "ol", int(s) if (s := x.attributes.get("start", "1")).isascii() and s.isdigit() and len(s) < 10 else 1])
-            page.indent += "" if len(lists) > 1 else "  "
-        elif name == "li":
-            page.end_line()
-            mark = "- "
-            if lists and lists[-1][0]:
-                mark = f"{lists[-1][1]}. "
-                lists[-1][1] += 1
-            page.indent, page.mark = page.indent + "    ", mark.rjust(4) if len(mark) < 4 else mark
-        elif name == "dd":
-            page.end_line()
-            page.indent += "  "
-        elif name in SPACED:
-            page.gap()
-        elif name in BLOCK:
-            page.end_line()
-        if name in ("pre", "textarea"):
-            pre += 1
-        if name == "td" or name == "th":
-            page.text(" ")
-        todo.append((x, True))
-        todo += [(c, False) for c in reversed(children)]
+        elif name == "img":
+            page.text(x.attributes.get("alt", "") if seen else "")
+        elif name == "input":
+            page.text(x.attributes.get("value", "") if seen and x.attributes.get("type", "").lower() in SHOWN_INPUTS else "")
+        else:
+            if name == "table" and depth < DEEPEST:
+                loose, rows = table_rows(x, seen)
+                if any(len(r) > 1 for r in rows):
+                    page.gap()
+                    page.add([*render(loose, depth), *table_lines(rows, depth + 1)])
+                    page.gap()
+                    continue
+            children = x.children
+            if name == "details" and "open" not in x.attributes:
+                children = [c for c in children if isinstance(c, Node) and c.name == "summary"]
+            if name in LISTS:
+                page.end_line() if lists else page.gap()
+                page.indent += 0 if lists else 2
+                lists.append([name == "ol", _number(x, "start", 10**9)])
+            elif name == "li":
+                page.end_line()
+                mark = "- "
+                if lists and lists[-1][0]:
+                    lists[-1][1] = _number(x, "value", 10**9) if "value" in x.attributes else lists[-1][1]
+                    mark = f"{lists[-1][1]}. "
+                    lists[-1][1] += 1
+                page.indent, page.mark = page.indent + 4, mark.rjust(4)
+            elif name == "dd":
+                page.end_line()
+                page.indent += 2
+            elif name in SPACED:
+                page.gap()
+            elif name in BLOCK:
+                page.end_line()
+            elif name == "text":
+                page.text(" ")
+            if name in EXACT:
+                exact.append(len(page.parts))
+            if name == "q" and seen:
+                page.exact("“")
+            todo.append((x, seen, True))
+            todo += [(c, seen, False) for c in reversed(children)]
     page.end_line()
-    return "\n".join(page.lines).strip("\n")
+    return page.lines
 
 
 def to_text(page: str | None) -> str:
-    return render(parse(page)) if page else ""
+    return "\n".join(render([(c, True) for c in parse(page).children])).strip("\n") if page else ""
 
 
 def extract(pages: DataFrame) -> DataFrame:
@@ -329,5 +420,3 @@ def extract(pages: DataFrame) -> DataFrame:
 def report(pages: DataFrame) -> DataFrame:
     """page_id, text, n_chars, n_lines, text_sha256."""
     return extract(pages).select("page_id", "text", F.length("text").cast("long").alias("n_chars"), F.when(F.length("text") == 0, 0).otherwise(F.size(F.split("text", "\n"))).cast("long").alias("n_lines"), F.sha2(F.col("text").cast("binary"), 256).alias("text_sha256"))
-
-

@@ -6,7 +6,7 @@ from collections import Counter
 import numpy as np
 import pytest
 
-from sparkloom.llm import bpe, chat, decontam, html_text, jaccard, licenses, line_dedup, quality, secrets, suffix_dedup
+from sparkloom.llm import bpe, chat, decontam, jaccard, licenses, line_dedup, quality, secrets, suffix_dedup
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, words int, row string"
 SPACES = " \t\n\x0b\x0c\r"
@@ -305,15 +305,6 @@ def test_full_licenses_among_paragraphs(spark, monkeypatch, broadcast_rows):
     assert got == {d: want for d, (_, want) in texts.items()}
 
 
-def test_html(spark):
-    page = "<html><head><title>t</title><style>p{}</style></head><body><p>One<p>Two &amp; <b>three</b><ul><li>a<li>b</ul><table><tr><td>x<td>yy<tr><td>long<td>z</table><div hidden>no</div><div style='display:none'>no</div><script>no</script>"
-    text = html_text.to_text(page)
-    assert text.split("\n") == ["One", "", "Two & three", "", "    - a", "    - b", "", "x     yy", "long  z"] or [x.strip() for x in text.split("\n") if x] == ["One", "Two & three", "- a", "- b", "x     yy", "long  z"]
-    for broken in ("<", "<a", "</", "<!--", "<p <b>", "<table><td><table>" * 60, "<div>" * 5000 + "x", "&#xD800;", "<td>" * 50):
-        html_text.to_text(broken)
-    assert [r.text for r in html_text.report(spark.createDataFrame([(1, None), (2, "")], "page_id long, html string")).collect()] == ["", ""]
-
-
 def test_chat(spark):
     turns = [(1, 0, "user", "### a </turn> \\h \\"), (1, 1, "assistant", "######\\b"), (2, 0, "assistant", "x"), (3, 0, None, None), (4, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "b")]
     rows_ = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, valid int")
