@@ -1,21 +1,24 @@
 """Quality rules: counts per text, a plain base rule, and robust multivariate outliers. DataFrame operations only.
 
-The outlier test fits a minimum covariance determinant (MCD) estimate for every language and source: from two robust
-starts, concentration steps refit mean and covariance on the H share of rows that are nearest, and the start that ends
-with the smaller determinant wins. Rows farther than CUTOFF in Mahalanobis distance are rejected. The vector holds
-smoothed and transformed shares, so that a short text's noisy shares stay near its source's centre; its length is no
-part of it. FLOOR is added to the spread of each share, so that a source where nobody uses, say, symbols does not reject
-the first text that uses one. Rows that fail the base rule are neither fitted nor tested. Sources with fewer than
-MIN_GROUP rows are pooled with the others of their language; a pool with fewer rejects none.
+The outlier test fits a minimum covariance determinant (MCD) estimate for every language and source. From several
+deterministic robust starts (scatters of tanh-wrapped, clipped, sign-only and independent coordinates around the medians)
+concentration steps refit mean and covariance on the H share of rows that are nearest. After FIRST_STEPS the start with
+the smallest determinant goes on until the determinant falls no more. Rows farther than CUTOFF in Mahalanobis distance
+are rejected. The vector holds smoothed and transformed shares, so that a short text's noisy shares stay near its source's
+centre; its length is no part of it. FLOOR is added to the spread of each share, so that a source where nobody uses, say,
+symbols does not reject the first text that uses one. Rows that fail the base rule are neither fitted nor tested. A source
+with fewer than MIN_GROUP rows to test in a language is judged by the estimate of the whole language, a language with
+fewer by that of all rows; fewer rows than that altogether make no estimate, and none is rejected by it.
 
 Scale: texts are scanned once; the counts, some 60 bytes a row, are written to the shared folder, and all fitting steps
-group them by (lang, source) with partial aggregates, so a source that holds a third of all rows is no hot task.
-Estimates are a row per group (half a KB) and are written and counted: up to BROADCAST_GROUPS are broadcast to the rows, so
-that no large source's rows meet in one task; more groups than that are joined by a shuffle, whose large partitions the
-planner splits.
-
-Edge cases: null texts are empty (no words: base_failed); null lang and source form their own groups; repeated rows each
-count; other columns are ignored.
+group them by (lang, source) with partial aggregates, so a source that holds a third of all rows is no hot task. Quantiles
+are sketches with a rank error of 1 / ACCURACY, exact for groups up to about that size. Estimates are a row per group
+(half a KB) and are written and counted: up to BROADCAST_GROUPS are broadcast to the rows, so that no large source's rows
+meet in one task; more groups than that are joined by a shuffle, whose large partitions the planner splits. A very long
+text is held by one task, with about 60 bytes a word.
+
+Edge cases: null texts are empty (no words: base_failed); a null lang or source is a value of its own, unlike an empty
+one; repeated rows each count; an empty table gives no rows; other columns are ignored by `report` and carried by `kept`.
 """
 
 from __future__ import annotations
@@ -28,7 +31,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
-H, MIN_GROUP, STEPS = 0.75, 50, 2
+H, MIN_GROUP = 0.75, 50
+#: Concentration steps with all starts; steps altogether, which no data met so far came near; and when a determinant (its logarithm) counts as settled.
+FIRST_STEPS, MOST_STEPS, SETTLED, ACCURACY = 2, 30, 1e-6, 10_000
 #: Digests of rejected rows up to so many are broadcast (16 bytes each) rather than shuffled with the texts.
 BROADCAST_IDS = 500_000
 #: Groups up to so many have their sizes, quartiles and estimates broadcast (half a KB each) to the rows.
@@ -41,14 +46,14 @@ FLOOR = (0.08, 0.25, 0.06, 0.05, 0.25, 0.25)
 
 def _content(docs: DataFrame) -> list[Column]:
     """Two digests of what a row is judged by: rows that are equal in it have one verdict."""
-    parts = [F.coalesce(docs[c].cast("string"), F.lit("")) for c in ("lang", "source", "text")]
+    parts = [F.coalesce(F.concat(F.lit("="), docs[c].cast("string")), F.lit("")) for c in ("lang", "source")] + [F.coalesce(docs["text"].cast("string"), F.lit(""))]
     return [F.xxhash64(*parts).alias("row1"), F.xxhash64(F.lit(1), *parts).alias("row2")]
 
 
 def counts(docs: DataFrame, *keep: str) -> DataFrame:
     """Per row: row1, row2 (digests of its content), n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the further counts of the outlier test."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("lang").cast("string"), F.lit("")).alias("lang"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("source"), text.alias("text"), *_content(docs))
+    at = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), F.col("source").cast("string").alias("source"), text.alias("text"), *_content(docs))
     at = at.select(
         "doc_id", "lang", "source", "row1", "row2",
         (F.length("text") - F.regexp_count("text", F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
@@ -75,68 +80,94 @@ def counts(docs: DataFrame, *keep: str) -> DataFrame:
     })
 
 
-def _inverse(est: DataFrame, start: str, names: tuple[str, ...], floor: tuple[float, ...]) -> DataFrame:
-    """est with the entries of the inverse Cholesky factor of the covariance, and log of its determinant, for one start."""
-    d, c = len(names), lambda what, *i: F.col(f"{start}_{what}{'_'.join(map(str, i))}")
-    cov = {(i, j): c("q", j, i) - c("m", i) * c("m", j) + (floor[i] ** 2 if i == j else 0) for i in range(d) for j in range(i + 1)}
-    est = est.withColumns({f"{start}_c{i}_{j}": F.col(f"{start}_n") * 0 + CONSISTENCY * x for (i, j), x in cov.items()})
-    for j in range(d):  # Cholesky, a column at a time; rounding must not lead below the floor
-        est = est.withColumn(f"{start}_l{j}_{j}", F.sqrt(F.greatest(c("c", j, j) - sum((c("l", j, k) * c("l", j, k) for k in range(j)), F.lit(0.0)), F.lit(floor[j] ** 2 / 4))))
-        if j + 1 < d:
-            est = est.withColumns({f"{start}_l{i}_{j}": (c("c", i, j) - sum((c("l", i, k) * c("l", j, k) for k in range(j)), F.lit(0.0))) / c("l", j, j) for i in range(j + 1, d)})
-    for i in range(d):
-        est = est.withColumns({f"{start}_w{i}_{j}": (F.lit(1.0) if i == j else -sum((c("l", i, k) * c("w", k, j) for k in range(j, i)), F.lit(0.0))) / c("l", i, i) for j in range(i + 1)})
-    return est.withColumn(f"{start}_det", sum((F.log(c("l", i, i)) for i in range(d)), F.lit(0.0))).drop(*[f"{start}_{x}{i}_{j}" for x in "cl" for i in range(d) for j in range(i + 1)])
+# The estimates' expressions are SQL text, as the driver would take seconds to build them from columns one by one.
+
+
+def _estimate(moments: DataFrame, keys: list[str], floor: tuple[float, ...]) -> DataFrame:
+    """keys, mean, inverse (of the covariance, its rows one after another) and det (the logarithm of the covariance's determinant),
+    from m0 ... (means) and q0_0 ... (means of products)."""
+    d = len(floor)
+    cov = ", ".join(f"{CONSISTENCY}D * (q{min(i, j)}_{max(i, j)} - m{i} * m{j} + {floor[i] ** 2 if i == j else 0}D)" for i in range(d) for j in range(d))
+    # the matrix is inverted in place by Gauss-Jordan steps, whose pivots make the determinant; the floor keeps them above 0
+    p, row, column, t = f"a.s[k * {d + 1}]", f"a.s[k * {d} + t % {d}]", f"a.s[t div {d} * {d} + k]", "t"
+    step = f"CASE WHEN {t} = k * {d + 1} THEN 1 / {p} WHEN {t} div {d} = k THEN v / {p} WHEN {t} % {d} = k THEN -v / {p} ELSE v - {column} * {row} / {p} END"
+    swept = f"aggregate(sequence(0, {d - 1}), struct(array({cov}) AS s, 0D AS det), (a, k) -> struct(transform(a.s, (v, t) -> {step}) AS s, a.det + ln({p}) AS det))"
+    est = moments.selectExpr(*keys, f"array({', '.join(f'm{i}' for i in range(d))}) AS mean", f"{swept} AS x")
+    return est.selectExpr(*keys, "mean", "x.s AS inverse", "x.det AS det")
 
 
-def _distance(start: str, names: tuple[str, ...]) -> Column:
+def _distance(names: tuple[str, ...]) -> str:
     """Squared Mahalanobis distance from a joined estimate."""
-    z = [F.col(x) - F.col(f"{start}_m{i}") for i, x in enumerate(names)]
-    rows = [sum((F.col(f"{start}_w{i}_{j}") * z[j] for j in range(i + 1)), F.lit(0.0)) for i in range(len(names))]
-    return sum((r * r for r in rows), F.lit(0.0))
+    d, z = len(names), [f"({x} - mean[{i}])" for i, x in enumerate(names)]
+    return " + ".join(f"{z[i]} * ({' + '.join(f'{1 if i == j else 2}D * inverse[{i * d + j}] * {z[j]}' for j in range(i, d))})" for i in range(d))
+
+
+def _moments(rows: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFrame:
+    means = [F.expr(f"avg({x}) AS m{i}") for i, x in enumerate(names)]
+    return rows.groupBy(*keys).agg(*means, *[F.expr(f"avg({names[i]} * {names[j]}) AS q{i}_{j}") for i, j in combinations_with_replacement(range(len(names)), 2)])
 
 
 def _per_group(df: DataFrame, tag: str) -> DataFrame:
-    """df, a row a group, stored; broadcast to what it is joined to if it is small."""
+    """df, a row or a few a group, stored; broadcast to what it is joined to if it is small."""
     df = stored(df, tag)
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
 
 
-def mcd(rows: DataFrame, group: str, names: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, h: float = H, steps: int = STEPS) -> DataFrame:
-    """One row a group: best_m* (centre), best_w*_* (inverse Cholesky factor of the covariance) and best_det, by MCD."""
-    d, at = len(names), rows.select(group, *names)
-    quart = at.groupBy(group).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], 2000).alias(f"p{i}") for i, x in enumerate(names)])
-    z = [F.pow((F.col(x) - F.col(f"p{i}")[1]) / (floor[i] + (F.col(f"p{i}")[2] - F.col(f"p{i}")[0]) / 1.349), F.lit(2)) for i, x in enumerate(names)]
-    near = at.join(_per_group(quart, "quartiles"), group).select(group, *names, sum(z, F.lit(0.0)).alias("sum_d"), F.greatest(*z).alias("max_d"))
-    starts, est = ("sum", "max"), None
-    for _ in range(steps + 1):
-        edge = near.groupBy(group).agg(*[F.percentile_approx(f"{s}_d", h, 2000).alias(f"{s}_e") for s in starts])
-        part = near.join(_per_group(edge, "edges"), group)
-        own = lambda s, x: F.avg(F.when(F.col(f"{s}_d") <= F.col(f"{s}_e"), x))
-        est = part.groupBy(group).agg(
-            *[F.sum(F.when(F.col(f"{s}_d") <= F.col(f"{s}_e"), 1)).cast("double").alias(f"{s}_n") for s in starts],
-            *[own(s, F.col(names[i])).alias(f"{s}_m{i}") for s in starts for i in range(d)],
-            *[own(s, F.col(names[i]) * F.col(names[j])).alias(f"{s}_q{i}_{j}") for s in starts for i, j in combinations_with_replacement(range(d), 2)],
-        )
-        for s in starts:
-            est = _inverse(est, s, names, floor).drop(*[f"{s}_q{i}_{j}" for i, j in combinations_with_replacement(range(d), 2)])
-        est = _per_group(est, "mcd")
-        near = at.join(est, group).select(group, *names, *[_distance(s, names).alias(f"{s}_d") for s in starts])
-    fields = [f"m{i}" for i in range(d)] + [f"w{i}_{j}" for i in range(d) for j in range(i + 1)] + ["det"]
-    return est.select(group, *[F.when(F.col("sum_det") <= F.col("max_det"), F.col(f"sum_{x}")).otherwise(F.col(f"max_{x}")).alias(f"best_{x}") for x in fields])
+def _starts(at: DataFrame, group: str, names: tuple[str, ...], floor: tuple[float, ...]) -> DataFrame:
+    """(group, start, mean, inverse): robust estimates to start from, up to a factor."""
+    d = len(names)
+    quart = at.groupBy(group).agg(*[F.percentile_approx(x, [0.25, 0.5, 0.75], ACCURACY).alias(f"p{i}") for i, x in enumerate(names)])
+    quart = _per_group(quart.selectExpr(group, f"array({', '.join(f'p{i}[1]' for i in range(d))}) AS median", f"array({', '.join(f'{floor[i]}D + (p{i}[2] - p{i}[0]) / 1.349D' for i in range(d))}) AS scale"), "quartiles")
+    z = at.join(quart, group).selectExpr(group, *[f"({x} - median[{i}]) / scale[{i}] AS z{i}" for i, x in enumerate(names)])
+    z = z.selectExpr("*", f"sqrt({' + '.join(f'z{i} * z{i}' for i in range(d))} + 1e-12D) AS far")
+    wraps = {"tanh": "tanh(z{})", "clip": "greatest(least(z{}, 2D), -2D)", "sign": "z{} / far"}
+    own = [f"struct('{name}' AS start, {', '.join(f'{f.format(i)} AS u{i}' for i in range(d))})" for name, f in wraps.items()]
+    moments = _moments(z.selectExpr(group, f"explode(array({', '.join(own)})) AS u").select(group, "u.*"), [group, "start"], tuple(f"u{i}" for i in range(d)))
+    # scatters around the medians with a diagonal of one (a tenth more, for a safe inverse); `independent` has nothing beside it
+    moments = moments.withColumn("start", F.expr("explode(IF(start = 'tanh', array('tanh', 'independent'), array(start)))"))
+    off = lambda i, j: "1D" if i == j else f"IF(start = 'independent', 0D, q{i}_{j} / sqrt((q{i}_{i} + 1e-9D) * (q{j}_{j} + 1e-9D)))"
+    one = moments.selectExpr(group, "start", *[f"0D AS m{i}" for i in range(d)], *[f"{off(i, j)} AS q{i}_{j}" for i in range(d) for j in range(i, d)])
+    shape = _estimate(one, [group, "start"], (0.1**0.5,) * d).join(quart, group)
+    return shape.selectExpr(group, "start", "median AS mean", f"transform(inverse, (v, t) -> v / (scale[t div {d}] * scale[t % {d}])) AS inverse")
+
+
+def mcd(rows: DataFrame, group: str, names: tuple[str, ...] = FEATURES, floor: tuple[float, ...] = FLOOR, h: float = H) -> DataFrame:
+    """One row a group: mean, inverse (of the covariance) and det (the logarithm of its determinant), by MCD."""
+    at, keys = rows.select(group, *names), [group, "start"]
+
+    def step(est: DataFrame) -> DataFrame:
+        """A concentration step: the moments of the h share of rows that are nearest by est."""
+        near = at.join(est, group).selectExpr(*keys, *names, f"{_distance(names)} AS d")
+        edge = _per_group(near.groupBy(*keys).agg(F.percentile_approx("d", h, ACCURACY).alias("edge")), "edges")
+        return _per_group(_estimate(_moments(near.join(edge, keys).where("d <= edge"), keys, names), keys, floor), "mcd")
+
+    est = _per_group(_starts(at, group, names, floor), "starts")
+    for _ in range(FIRST_STEPS):
+        est = step(est)
+    est = _per_group(est.groupBy(group).agg(F.min(F.struct("det", "start", "mean", "inverse")).alias("x")).select(group, "x.*"), "best")
+    for _ in range(MOST_STEPS):
+        last, est = est, step(est)
+        falls = est.select(*keys, "det").join(last.select(*keys, F.col("det").alias("was")), keys).agg(F.max(F.col("was") - F.col("det"))).head()[0]
+        if falls is None or falls <= SETTLED:
+            break
+    return est.select(group, "mean", "inverse", "det")
 
 
 def judged(docs: DataFrame) -> DataFrame:
-    """counts() with the group that a row was judged in, its squared distance (null: not tested) and kept."""
-    rows = stored(counts(docs), "quality")
+    """counts() with the group that a row was judged by, its squared distance (null: not tested) and kept."""
+    rows = stored(counts(docs).withColumns({"own": F.concat(F.lit("2"), F.to_json(F.struct("lang", "source"))), "wider": F.concat(F.lit("1"), F.to_json(F.struct("lang")))}), "quality")
     tested = rows.where("not base_failed")
-    sizes = _per_group(tested.groupBy("lang", "source").agg(F.count("*").alias("n")), "sizes")
-    name = F.when(F.col("n") >= MIN_GROUP, F.to_json(F.struct("lang", "source"))).otherwise(F.to_json(F.struct("lang")))
-    named = rows.join(sizes, ["lang", "source"], "left").withColumn("judged_in", name).drop("n")
-    fit = mcd(named.where("not base_failed"), "judged_in")
-    pools = named.where("not base_failed").groupBy("judged_in").agg(F.count("*").alias("pool"))
-    best = named.join(_per_group(fit.join(pools, "judged_in").where(F.col("pool") >= MIN_GROUP), "fits"), "judged_in", "left")
-    far = F.when(~F.col("base_failed"), _distance("best", FEATURES))
+    # a row a source: by which estimate it is judged, and to which ones its rows contribute
+    sizes = stored(tested.groupBy("own", "wider").agg(F.count("*").alias("n")), "sizes")
+    langs = sizes.groupBy("wider").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
+    total, least = langs.agg(F.coalesce(F.sum("n_lang"), F.lit(0)), F.coalesce(F.min("n_lang"), F.lit(0))).head()
+    by = F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("n_lang") >= MIN_GROUP, F.col("wider")).when(F.lit(total >= MIN_GROUP), F.lit("0"))
+    of_lang, of_all = (F.col("least") < MIN_GROUP) & (F.col("n_lang") >= MIN_GROUP), F.lit(least < MIN_GROUP <= total)
+    homes = sizes.join(langs, "wider").select("own", by.alias("judged_in"), F.array_compact(F.array(F.when(F.col("n") >= MIN_GROUP, F.col("own")), F.when(of_lang, F.col("wider")), F.when(of_all, F.lit("0")))).alias("fits"))
+    homes = _per_group(homes, "homes")
+    fit = mcd(tested.join(homes, "own").select(F.explode("fits").alias("fit"), *FEATURES), "fit")
+    best = rows.join(homes.select("own", "judged_in"), "own", "left").join(_per_group(fit.withColumnRenamed("fit", "judged_in"), "fits"), "judged_in", "left")
+    far = F.expr(f"IF(NOT base_failed, {_distance(FEATURES)}, NULL)")
     return best.select(*rows.columns, "judged_in", far.alias("distance2")).withColumn("kept", ~F.col("base_failed") & (F.coalesce("distance2", F.lit(0.0)) <= CUTOFF))
 
 

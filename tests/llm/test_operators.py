@@ -50,24 +50,43 @@ class TestBpe:
     @pytest.fixture(scope="class")
     def coder(self):
         tokenizers = pytest.importorskip("public_tokenizers")
-        return bpe.Coder(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+        coder = bpe.Coder(tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN)
+        coder.path = tokenizers.path("byte_bpe_50k.tiktoken")
+        return coder
+
+    @pytest.fixture(scope="class")
+    def library(self):
+        tokenizers, load = pytest.importorskip("public_tokenizers"), pytest.importorskip("tiktoken.load")
+        return pytest.importorskip("tiktoken").Encoding("test", pat_str=tokenizers.PATTERN, mergeable_ranks=load.load_tiktoken_bpe(str(tokenizers.path("byte_bpe_50k.tiktoken"))), special_tokens={})
 
     @pytest.mark.parametrize(("chunk", "overlap"), [(7, 3), (20, 8), (64, 20)])
-    def test_stitched_chunks_are_one_pass(self, coder, chunk, overlap):
+    def test_stitched_chunks_are_one_pass(self, coder, library, chunk, overlap):
         rng = random.Random(1)
         for _ in range(300):
             text = "".join(rng.choices(["a", "'ll", "'", "\n", " ", "  ", "9", "12345678901234", "ß", "日本", "letters" * 9, "!?", " "], k=rng.randint(0, 60)))
-            assert bpe.encode_long(coder, text, chunk, overlap) == coder.encode(text)
+            assert bpe.encode_long(coder, text, chunk, overlap) == coder.encode(text) == library.encode_ordinary(text)
             assert coder.decode(coder.encode(text)) == text.encode()
 
-    def test_report(self, spark, docs, texts, empty, coder):
+    def test_patterns(self, coder):
+        for bad in (r"(?<=a)b|.", r"\w+\b", r"a(?=bc)|.", "^a|."):
+            with pytest.raises(ValueError, match="stitched"):
+                bpe.check_pattern(bad)
+        gaps = bpe.Coder(coder.path, r"[a-z]+")  # what the pattern skips has no tokens
+        for text in ("", "AB", "12abc34de5", "  abc" * 30):
+            assert gaps.decode(gaps.encode(text)).decode() == "".join(re.findall("[a-z]+", text))
+            assert bpe.encode_long(gaps, text, 7, 3) == gaps.encode(text)
+
+    def test_report(self, spark, docs, texts, empty, coder, library):
         tokenizers = pytest.importorskip("public_tokenizers")
         where = tokenizers.path("byte_bpe_50k.tiktoken"), tokenizers.PATTERN
         long = " ".join(str(i) for i in range(20_000))
-        got = rows(bpe.report(docs.unionByName(spark.createDataFrame([(99, long, "en", "s", 1, 1, "r")], DOCS)), *where))
-        for d, t in {**texts, 99: long}.items():
-            ids = coder.encode(t or "")
-            assert tuple(got[d])[1:] == (len(ids), sha(" ".join(map(str, ids))), sha(t or ""))
+        more = [(99, long), (99, long), (98, "a" * 80_000), (None, long), (None, "x"), (None, "x"), (97, ("word " + "b" * 2500) * 40)]
+        got = bpe.report(docs.unionByName(spark.createDataFrame([(d, t, "en", "s", 1, 1, "r") for d, t in more], DOCS)), *where).collect()
+        want = []
+        for d, t in [*texts.items(), *more]:
+            ids = library.encode_ordinary(t or "")
+            want.append((d, len(ids), sha(" ".join(map(str, ids))), sha(t or "")))
+        assert Counter(map(tuple, got)) == Counter(want)
         assert bpe.report(empty, *where).count() == 0
         assert rows(bpe.decode(bpe.encode(docs, *where), *where))[4].data.decode() == texts[4]
 
@@ -262,6 +281,67 @@ def test_mcd_rejects_outliers(spark):
     assert quality.kept(docs).count() == 90
 
 
+def _mcd(x):
+    """Brute force: mean and covariance of the same starts and steps, in NumPy."""
+    floor, d, n = np.array(quality.FLOOR), x.shape[1], len(x)
+    quantile = lambda v, q: np.sort(v, axis=0)[int(np.ceil(q * n)) - 1]
+    low, middle, high = (quantile(x, q) for q in (0.25, 0.5, 0.75))
+    scale = floor + (high - low) / 1.349
+    z = (x - middle) / scale
+    ests = []
+    for name, u in (("clip", np.clip(z, -2, 2)), ("independent", None), ("sign", z / np.sqrt((z * z).sum(1) + 1e-12)[:, None]), ("tanh", np.tanh(z))):
+        c = np.eye(d)
+        if u is not None:
+            q = u.T @ u / n
+            e = np.diag(q) + 1e-9
+            c = q / np.sqrt(np.outer(e, e))
+            np.fill_diagonal(c, 1)
+        ests.append((0, name, middle, (c + 0.1 * np.eye(d)) * np.outer(scale, scale)))
+
+    def step(est):
+        y = x - est[2]
+        far = np.einsum("ij,ij->i", y, np.linalg.solve(est[3], y.T).T)
+        near = x[far <= quantile(far, 0.75)]
+        c = quality.CONSISTENCY * (near.T @ near / len(near) - np.outer(near.mean(0), near.mean(0)) + np.diag(floor**2))
+        return np.linalg.slogdet(c)[1], est[1], near.mean(0), c
+
+    for _ in range(quality.FIRST_STEPS):
+        ests = [step(e) for e in ests]
+    best = min(ests, key=lambda e: e[:2])
+    while True:
+        last, best = best, step(best)
+        if last[0] - best[0] <= quality.SETTLED:
+            return best
+
+
+def test_mcd_is_that_of_numpy(spark):
+    rng = np.random.default_rng(4)
+    made = []
+    # en/a and de/b are large; en/c is judged with all of en, fr/d and null/null with all rows
+    for lang, source, n in (("en", "a", 200), ("de", "b", 90), ("en", "c", 12), ("fr", "d", 5), (None, None, 5)):
+        for _ in range(n):
+            words = ["".join(rng.choice(list("abcdefghij"), rng.integers(2, 9))) for _ in range(rng.integers(12, 90))]
+            words = [w.capitalize() if rng.random() < 0.1 else w for w in words]
+            if rng.random() < 0.08:
+                words = [w + rng.choice(["###", "!!!", "."]) for w in words]
+            if rng.random() < 0.05:
+                words = [w.upper() for w in words]
+            made.append((len(made), " ".join(words) + "\n" + " ".join(words[:4]) + ".", lang, source))
+    docs = spark.createDataFrame(made, "doc_id long, text string, lang string, source string")
+    counted = [r for r in quality.counts(docs).collect() if not r.base_failed]
+    got = {r.doc_id: r for r in quality.judged(docs).collect()}
+    pick = lambda f: np.array([[r[c] for c in quality.FEATURES] for r in counted if f(r)])
+    fits = {"2" + '{"lang":"en","source":"a"}': lambda r: (r.lang, r.source) == ("en", "a"), "2" + '{"lang":"de","source":"b"}': lambda r: r.lang == "de", "1" + '{"lang":"en"}': lambda r: r.lang == "en", "0": lambda r: True}
+    assert {r.judged_in for r in got.values() if not r.base_failed} == set(fits) and sum(not r.kept for r in got.values()) > 10
+    for name, f in fits.items():
+        _, _, mean, cov = _mcd(pick(f))
+        for r in counted:
+            if got[r.doc_id].judged_in == name:
+                y = np.array([r[c] for c in quality.FEATURES]) - mean
+                far = y @ np.linalg.solve(cov, y)
+                assert abs(got[r.doc_id].distance2 - far) <= 1e-6 * (1 + far) and got[r.doc_id].kept == (far <= quality.CUTOFF)
+
+
 def test_licenses(spark, empty):
     mit = licenses.REGISTRY[0][1]
     texts = {1: mit, 2: "Copyright (c) 2020 Someone\n\n" + mit.upper().replace(",", " ;"), 3: "prose\nReleased under the MIT Licence.\nmore", 4: "prose about a license", 5: None}
