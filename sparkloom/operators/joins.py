@@ -58,18 +58,40 @@ def index_s(r: DataFrame, s: DataFrame) -> DataFrame:
     return _joined(r, F.broadcast(s) if small else s.hint("merge"))
 
 
-def nested_blocks(r: DataFrame, s: DataFrame, bits: int = 4) -> DataFrame:
-    """A block nested loop: rows of R are blocked by key range, and each row of S loops over its block."""
+#: Rows of R in a block of the nested loop, and rows of S that a key may have before it is split.
+BLOCK_ROWS, HOT_ROWS = 1024, 100_000
+
+
+def nested_blocks(r: DataFrame, s: DataFrame, bits: int = 4, most: int | None = None) -> DataFrame:
+    """A block nested loop: rows of R are blocked by key range, and each row of S loops over its blocks. A range with more
+    than `most` rows, as around a hot key, has several blocks, dealt by payload."""
     r, s = _sides(r, s)
     block = F.shiftright("key", bits).alias("block")
-    blocks = r.select(block, F.struct("key", "r_payload").alias("x")).groupBy("block").agg(F.collect_list("x").alias("xs"))
-    looped = s.select(block, "key", "s_payload").join(blocks, "block").select(F.col("key").alias("k"), "s_payload", "xs")
-    return looped.select("s_payload", F.explode(F.filter("xs", lambda x: x["key"] == F.col("k"))).alias("x")).select("x.key", "x.r_payload", "s_payload")
+    sizes = r.groupBy(block).agg(F.ceil(F.count("*") / (most or BLOCK_ROWS)).alias("parts"))
+    dealt = r.select("*", block).join(sizes, "block").withColumn("part", F.pmod(F.xxhash64("r_payload"), F.col("parts")))
+    blocks = dealt.groupBy("block", "part").agg(F.collect_list(F.struct("key", "r_payload")).alias("xs"))
+    asked = s.select(block, F.col("key").alias("k"), "s_payload").join(sizes, "block").withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    looped = asked.join(blocks, ["block", "part"]).select("s_payload", F.explode(F.filter("xs", lambda x: x["key"] == F.col("k"))).alias("x"))
+    return looped.select("x.key", "x.r_payload", "s_payload")
+
+
+def radix_split(r: DataFrame, s: DataFrame, most: int | None = None) -> DataFrame:
+    """The radix join with skewed keys split: a key with more than `most` rows of S gets a salt by payload for each `most` of
+    them, and its rows of R go to every salt. Counts are pre-aggregated, and there are at most |S| / most such keys."""
+    hot = s.groupBy("key").agg(F.count("*").alias("n")).where(F.col("n") > (most or HOT_ROWS)).select("key", F.ceil(F.col("n") / (most or HOT_ROWS)).alias("salts"))
+    hot = F.broadcast(hot) if fits_broadcast(hot) else hot
+    r, s = _sides(r, s)
+    salts = F.coalesce("salts", F.lit(1).cast("long"))
+    left = r.join(hot, "key", "left").select("key", "r_payload", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)).alias("salt"))
+    right = s.join(hot, "key", "left").select("key", "s_payload", F.pmod(F.xxhash64("s_payload"), salts).alias("salt"))
+    return left.hint("shuffle_hash").join(right, ["key", "salt"]).select("key", "r_payload", "s_payload")
 
 
 def concise(r: DataFrame, s: DataFrame) -> DataFrame:
     """At most one partner per S row: the smallest payload of the key."""
-    return hash_build_r(r.groupBy("key").agg(F.min("payload").alias("payload")), s)
+    small = fits_broadcast(r)  # the input's rows bound those of the aggregate, which is not computed to be counted
+    one, s = r.groupBy("key").agg(F.min("payload").alias("r_payload")), _sides(r, s)[1]
+    return _joined(F.broadcast(one) if small else one.hint("shuffle_hash"), s)
 
 
 def checksum(rows: DataFrame) -> DataFrame:
@@ -86,11 +108,17 @@ def memory_chunks(r: DataFrame, s: DataFrame, budget_mb: int = 65, r_rows: int |
     return r.select("*", chunk).hint("shuffle_hash").join(s.select("*", chunk), ["chunk", "key"]).select("key", "r_payload", "s_payload")
 
 
-def sort_expand_align(r: DataFrame, s: DataFrame) -> DataFrame:
-    """Tag, count each key's rows on either side, expand each row by the other side's count, and align copies by place."""
-    both = r.select("key", "payload", F.lit(0).alias("tid")).unionByName(s.select("key", "payload", F.lit(1).alias("tid")))
-    by = Window.partitionBy("key")
-    sized = both.select("*", F.count(F.when(F.col("tid") == 0, 1)).over(by).alias("h"), F.count(F.when(F.col("tid") == 1, 1)).over(by).alias("w"), (F.row_number().over(Window.partitionBy("key", "tid").orderBy("payload")) - 1).cast("long").alias("i"))
+def sort_expand_align(r: DataFrame, s: DataFrame, parts: int = 16) -> DataFrame:
+    """Tag, count each key's rows on either side, expand each row by the other side's count, and align copies by place. Rows of
+    a key and side are numbered in `parts` parts, by payload, whose counts shift the numbers, so that no hot key is one task's."""
+    both = r.select("key", "payload", F.lit(0).alias("tid")).unionByName(s.select("key", "payload", F.lit(1).alias("tid"))).withColumn("part", F.pmod(F.xxhash64("payload"), F.lit(parts)))
+    one = F.struct("tid", "part", "n")
+    sizes = both.groupBy("key", "tid", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(one).alias("x"))  # 2 * parts rows a key at most
+    total = lambda keep: F.aggregate(F.filter("x", keep), F.lit(0).cast("long"), lambda a, x: a + x["n"])
+    by_key = sizes.withColumns({"h": total(lambda x: x["tid"] == 0), "w": total(lambda x: x["tid"] == 1)}).where("h > 0 and w > 0")
+    known = by_key.select("key", "h", "w", F.explode(F.transform("x", lambda y: F.struct(y["tid"].alias("tid"), y["part"].alias("part"), total(lambda x: (x["tid"] == y["tid"]) & (x["part"] < y["part"])).alias("before")))).alias("y")).select("key", "h", "w", "y.*")
+    within = F.row_number().over(Window.partitionBy("key", "tid", "part").orderBy("payload")) - 1
+    sized = both.withColumn("within", within).join(known, ["key", "tid", "part"]).withColumn("i", F.col("before") + F.col("within"))
     copies = expand(sized.withColumn("weight", F.when(F.col("tid") == 0, F.col("w")).otherwise(F.col("h"))), "weight")
     place = F.when(F.col("tid") == 0, F.col("i") * F.col("w") + F.col("copy")).otherwise(F.col("copy") * F.col("w") + F.col("i"))
     placed = copies.withColumn("place", place)
@@ -99,10 +127,10 @@ def sort_expand_align(r: DataFrame, s: DataFrame) -> DataFrame:
 
 
 def carry_last(r: DataFrame, s: DataFrame) -> DataFrame:
-    """R and S sorted together, the last R row of the key (largest payload) carried to each S row: at most one partner."""
-    both = r.select("key", "payload", F.lit(1).alias("tid")).unionByName(s.select("key", "payload", F.lit(2).alias("tid")))
-    carried = F.last(F.when(F.col("tid") == 1, F.col("payload")), ignorenulls=True).over(Window.partitionBy("key").orderBy("tid", "payload"))
-    return both.withColumn("r_payload", carried).where("tid = 2 and r_payload is not null").select("key", "r_payload", F.col("payload").alias("s_payload"))
+    """The last R row of each key (largest payload) carried to each S row: at most one partner. The carry is a pre-aggregated
+    maximum joined back, so a hot key's rows need no common order."""
+    last = r.groupBy("key").agg(F.max("payload").alias("r_payload"))
+    return _joined(last.hint("shuffle_hash"), _sides(r, s)[1])
 
 
 def blocked(r: DataFrame, s: DataFrame, size: int = 3750) -> DataFrame:
@@ -111,18 +139,32 @@ def blocked(r: DataFrame, s: DataFrame, size: int = 3750) -> DataFrame:
     return at(r, "r").hint("shuffle_hash").join(at(s, "s"), "key").select("key", "r_payload", "s_payload", "r_block", "s_block")
 
 
-def padded(r: DataFrame, s: DataFrame, size: int = 1875) -> DataFrame:
+def blocked_output(r: DataFrame, s: DataFrame, size: int = 3750, most_blocks: int = 64) -> DataFrame:
+    """For every block of R and row of S the matches, or one dummy row where there are none: at least as many rows as block
+    pairs have slots. Blocks grow with R, so that there are most_blocks at most."""
+    n = r.count()
+    size = max(size, -(-n // most_blocks))
+    at = row_ids(r).select("key", F.col("payload").alias("r_payload"), F.floor(F.col("id") / size).alias("r_block"))
+    slots = _sides(r, s)[1].withColumn("r_block", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(-(-n // size) - 1).cast("long")))) if n else _sides(r, s)[1].withColumn("r_block", F.lit(0).cast("long")).limit(0)
+    real = F.col("r_payload").isNotNull()
+    return slots.join(at, ["r_block", "key"], "left").select(real.alias("is_real"), "r_block", F.when(real, F.col("key")).alias("key"), "r_payload", F.when(real, F.col("s_payload")).alias("s_payload"))
+
+
+def padded(r: DataFrame, s: DataFrame, size: int = 1875, most_chunks: int = 64) -> DataFrame:
     """One row for every S row and chunk of `size` R rows, real or dummy: the output's size tells nothing but the inputs'.
-    Exact for unique R keys; of equal keys in a chunk the smallest payload matches."""
+    Exact for unique R keys; of equal keys in a chunk the smallest payload matches. Chunks grow with R, so that the output
+    has at most most_chunks rows for a row of S."""
+    n = r.count()
+    size = max(size, -(-n // most_chunks))
     chunked = row_ids(r).withColumn("chunk", F.floor(F.col("id") / size))
-    n = -(-r.count() // size)
+    n = -(-n // size)
     one = chunked.groupBy("chunk", "key").agg(F.min("payload").alias("r_payload"))
     slots = s.select("key", F.col("payload").alias("s_payload"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(n, 1) - 1).cast("long"))).alias("chunk")) if n else s.select("key", F.col("payload").alias("s_payload"), F.lit(0).cast("long").alias("chunk")).limit(0)
     return slots.join(one, ["chunk", "key"], "left").select(F.col("r_payload").isNotNull().alias("is_real"), "chunk", F.when(F.col("r_payload").isNotNull(), F.col("key")).alias("key"), "r_payload", F.when(F.col("r_payload").isNotNull(), F.col("s_payload")).alias("s_payload"))
 
 
 def padded_matches(r: DataFrame, s: DataFrame) -> DataFrame:
-    return padded(r, s).where("is_real").select("key", "r_payload", "s_payload")
+    return real_rows(padded(r, s)).select("key", "r_payload", "s_payload")
 
 
 #: All strategies by name.
@@ -133,7 +175,7 @@ STRATEGIES = {
         Strategy("radix_single", _hinted("shuffle_hash"), plan_node="ShuffledHashJoin"), Strategy("radix_histogram", _hinted("shuffle_hash"), plan_node="ShuffledHashJoin"), Strategy("radix_reorder", _hinted("shuffle_hash"), plan_node="ShuffledHashJoin"),
         Strategy("radix_atomic", _hinted("shuffle_hash"), plan_node="ShuffledHashJoin"), Strategy("radix_sort_merge", _hinted("merge"), plan_node="SortMergeJoin"), Strategy("parallel_sort_merge", _hinted("merge"), plan_node="SortMergeJoin"),
         Strategy("multiway_merge", _hinted("merge"), plan_node="SortMergeJoin"), Strategy("grace", _hinted("shuffle_hash"), plan_node="ShuffledHashJoin"), Strategy("memory_chunks", memory_chunks, plan_node="ShuffledHashJoin"),
-        Strategy("sort_expand_align", sort_expand_align), Strategy("blocked", lambda r, s: blocked(r, s).drop("r_block", "s_block")),
+        Strategy("radix_split", radix_split, plan_node="ShuffledHashJoin"), Strategy("sort_expand_align", sort_expand_align), Strategy("blocked", lambda r, s: blocked(r, s).drop("r_block", "s_block")),
         Strategy("concise", concise, keys="unique"), Strategy("carry_last", carry_last, keys="unique"), Strategy("padded", padded_matches, keys="unique"),
     )
 }
@@ -173,6 +215,11 @@ def size_in_bytes(rows: DataFrame, row: int = 24) -> DataFrame:
     return rows.agg((F.count("*") * row).alias("bytes"))
 
 
+def real_rows(padded_: DataFrame) -> DataFrame:
+    """A padded output without its dummies."""
+    return padded_.where("is_real").drop("is_real")
+
+
 def page(rel: DataFrame, offset: int, n: int) -> DataFrame:
     """Rows [offset, offset + n) by key, then payload."""
     return rel.orderBy("key", "payload").offset(offset).limit(n)

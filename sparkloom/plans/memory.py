@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from dataclasses import dataclass
 
 #: Bytes of a row in a chunk's hash relation, and the share of the budget that goes to bookkeeping at least.
 ROW_BYTES, FIXED_MB, MOST_CHUNKS = 48, 64, 1024
@@ -22,8 +23,25 @@ def lambert_w(x: float) -> float:
     return w
 
 
-def plan_chunks(rows: int, budget_mb: int) -> int:
-    """Chunks so that one fits what the budget leaves; budgets that leave nothing are an error."""
+@dataclass(frozen=True)
+class MemoryPlan:
+    rows: int
+    budget_mb: int
+    chunk_rows: int
+    chunks: int
+
+
+def plan(rows: int, budget_mb: int) -> MemoryPlan:
+    """The largest chunk that fits what the budget leaves. A chunk of n rows takes n * (ROW_BYTES + log2(n) / 8): its rows and
+    their packed radix bits; so n = exp(W(x * exp(c)) - c) with x = 8 * budget * ln 2 and c = 8 * ROW_BYTES * ln 2. Budgets that
+    leave nothing are an error."""
     if budget_mb <= FIXED_MB:
         raise ValueError(f"the budget must exceed {FIXED_MB} MB")
-    return min(MOST_CHUNKS, max(1, math.ceil(rows * ROW_BYTES / ((budget_mb - FIXED_MB) << 20))))
+    x, c = 8 * ((budget_mb - FIXED_MB) << 20) * math.log(2), 8 * ROW_BYTES * math.log(2)
+    most = int(math.exp(lambert_w(x * math.exp(c)) - c))
+    chunks = min(MOST_CHUNKS, max(1, math.ceil(rows / most)))
+    return MemoryPlan(rows, budget_mb, math.ceil(rows / chunks) if rows else 0, chunks)
+
+
+def plan_chunks(rows: int, budget_mb: int) -> int:
+    return plan(rows, budget_mb).chunks

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.relation import as_relation, row_ids
-from ..operators import joins, partition, sealing
+from ..functions.relation import as_relation, row_ids, scratch
+from ..operators import index, joins, output, partition, sealing
+from ..operators.store import Store
 from ..sources import generators
 from . import pipeline
 
@@ -63,7 +64,7 @@ def _add_joins() -> None:
             _query(f"join_{name}_many", _ROWS.format(r=_RM, s=_SM))(lambda spark, d, n=name: joins.join_rows(n, *_many(spark, d)))
         else:
             _query(f"join_{name}_rows", _ROWS.format(r=_R, s=_S))(lambda spark, d, n=name: joins.join_rows(n, *_pk_fk(spark, d)))
-    for name in ("radix_histogram", "parallel_sort_merge", "hash_shared"):
+    for name in ("radix_histogram", "radix_split", "parallel_sort_merge", "hash_shared"):
         _query(f"join_{name}_skewed", _COUNT.format(r="SELECT c_custkey AS key, c_nationkey AS payload FROM customer", s=_SK))(lambda spark, d, n=name: joins.join_count(n, *_skewed(spark, d)))
         for percent in (1, 50):
             _query(f"join_{name}_selectivity_{percent}", _COUNT.format(r=f"{_R} WHERE o_orderkey % 100 < {percent}", s=_S))(lambda spark, d, n=name, p=percent: joins.join_count(n, _pk_fk(spark, d)[0].where(F.col("key") % 100 < p), _pk_fk(spark, d)[1]))
@@ -105,6 +106,24 @@ def _(spark, d):
     return joins.blocked(*_pk_fk(spark, d)).groupBy("r_block", "s_block").agg(F.count("*").alias("matches"))
 
 
+@_query("join_radix_split_hot", _ROWS.format(r="SELECT c_custkey AS key, c_nationkey AS payload FROM customer", s=_SK))
+def _(spark, d):
+    return joins.radix_split(*_skewed(spark, d), most=20)
+
+
+@_query("join_blocked_output", f"""
+WITH r AS (SELECT *, (row_number() OVER (ORDER BY key, payload) - 1) // 3750 AS r_block FROM ({_RM})), b AS (SELECT DISTINCT r_block FROM r)
+SELECT r.key IS NOT NULL AS is_real, b.r_block, r.key, r.payload AS r_payload, CASE WHEN r.key IS NOT NULL THEN s.payload END AS s_payload FROM ({_SM}) s CROSS JOIN b LEFT JOIN r ON r.r_block = b.r_block AND r.key = s.key
+""")
+def _(spark, d):
+    return joins.blocked_output(*_many(spark, d))
+
+
+@_query("join_real_rows", _ROWS.format(r=_R, s=_S))
+def _(spark, d):
+    return joins.real_rows(joins.padded(*_pk_fk(spark, d))).select("key", "r_payload", "s_payload")
+
+
 @_query("three_way_join", "SELECT user_id AS key, event_id AS payload FROM customer JOIN orders ON c_custkey = o_custkey JOIN events ON c_custkey = user_id")
 def _(spark, d):
     return pipeline.three_way(*_three(spark, d))
@@ -149,6 +168,36 @@ def _(spark, d):
     return partition.prefix_sum(partition.histogram(_pk_fk(spark, d)[1]))
 
 
+@_query("radix_histogram_high_bits", f"SELECT (key >> 7) & 127 AS pid, count(*) AS n FROM ({_S}) GROUP BY 1")
+def _(spark, d):
+    return partition.histogram(_pk_fk(spark, d)[1], 7, 7)
+
+
+@_query("range_partition_order", "SELECT 0 AS violations")
+def _(spark, d):
+    """Range partitions are in order, within and one after another."""
+    rows = partition.range_partition(_many(spark, d)[1], 16).select(F.monotonically_increasing_id().alias("at"), "key")
+    bounds = rows.groupBy(F.shiftright("at", 33).alias("part")).agg(F.min("key").alias("low"), F.max("key").alias("high"))
+    return bounds.alias("a").join(bounds.alias("b"), F.expr("a.part < b.part and a.high > b.low")).agg(F.count("*").alias("violations"))
+
+
+@_query("index_equal_range", f"SELECT * FROM ({_S}) WHERE key >= 100 AND key < 200")
+def _(spark, d):
+    return index.equal_range(_pk_fk(spark, d)[1], 100, 200)
+
+
+@_query("index_bounds", f"SELECT 'lower' AS bound, * FROM (SELECT * FROM ({_SM}) WHERE key >= 77 ORDER BY key, payload LIMIT 1) UNION ALL SELECT 'upper', * FROM (SELECT * FROM ({_SM}) WHERE key > 77 ORDER BY key, payload LIMIT 1)")
+def _(spark, d):
+    rel = _many(spark, d)[1]
+    return index.lower_bound(rel, 77).select(F.lit("lower").alias("bound"), "*").unionByName(index.upper_bound(rel, 77).select(F.lit("upper").alias("bound"), "*"))
+
+
+@_query("index_changes", f"SELECT key, payload FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY payload) AS k FROM ({_SM}) WHERE key <> 5) WHERE NOT (key = 6 AND k = 1) UNION ALL SELECT 5, 1")
+def _(spark, d):
+    rel = index.erase_one(index.erase(_many(spark, d)[1], 5), 6)
+    return index.insert(rel, spark.createDataFrame([(5, 1)], "key long, payload long"))
+
+
 @_query("radix_two_pass", f"SELECT key & 127 AS pid1, (key >> 7) & 127 AS pid2, count(*) AS n FROM ({_S}) GROUP BY 1, 2")
 def _(spark, d):
     return partition.two_pass(_pk_fk(spark, d)[1])
@@ -215,6 +264,32 @@ def _(spark, d):
     return generators.keys_from_list(spark, 1000, [5, 7, 11])
 
 
+@_query("generate_uniform", "SELECT 200000 AS n, 0 AS outside, true AS even")
+def _(spark, d):
+    """Keys are in the domain, and none of 100 slices is off its share by five standard deviations."""
+    keys = generators.uniform_keys(spark, 200_000, 10_000)
+    slices = keys.groupBy(F.floor(F.col("key") / 100).alias("slice")).agg(F.count("*").alias("n"), F.count(F.when((F.col("key") < 0) | (F.col("key") >= 10_000), 1)).alias("outside"))
+    return slices.agg(F.sum("n").cast("int").alias("n"), F.sum("outside").cast("int").alias("outside"), F.bool_and(F.abs(F.col("n") - 2000) < 5 * 2000**0.5).alias("even"))
+
+
+@_query("generate_from_file", f"SELECT key, 0 AS payload FROM ({_S})")
+def _(spark, d):
+    path = f"{scratch(spark)}/keys-{spark.sparkContext.applicationId}-{abs(hash(d))}"
+    output.write_keys(_pk_fk(spark, d)[1], path)
+    return generators.keys_from_file(spark, path)
+
+
+@_query("zipf_drawn", "SELECT 100000 AS n, true AS close")
+def _(spark, d):
+    """The drawn keys' distribution over the ranks is within the Kolmogorov-Smirnov bound (0.1 %) of the law's."""
+    n, most = 100_000, 5000
+    drawn = generators.zipf_keys(spark, n, most, 0.75).groupBy("key").agg(F.count("*").alias("n"))
+    law = generators.zipf_cdf(spark, most, 0.75).withColumn("key", generators.zipf_key(F.col("rank"), most))
+    ranked = law.join(drawn, "key", "left").select("rank", "cdf", F.coalesce("n", F.lit(0)).alias("n"))
+    steps = ranked.alias("a").join(ranked.where("rank % 50 = 0").select(F.col("rank").alias("upto"), F.col("cdf").alias("want")), F.expr("rank <= upto")).groupBy("upto", "want").agg(F.sum("n").alias("n"))
+    return steps.agg(F.max(F.when(F.col("upto") == most, F.col("n"))).cast("int").alias("n"), F.bool_and(F.abs(F.col("n") / n - F.col("want")) < 1.95 / n**0.5).alias("close"))
+
+
 @_query("zipf_distribution", "SELECT range AS rank, round(sum(1 / pow(range, 0.75)) OVER (ORDER BY range) / (SELECT sum(1 / pow(range, 0.75)) FROM range(1, 20001)), 9) AS cdf FROM range(1, 20001)")
 def _(spark, d):
     return generators.zipf_cdf(spark, 20_000, 0.75).select("rank", F.round("cdf", 9).alias("cdf"))
@@ -226,10 +301,46 @@ def _(spark, d):
 
 
 @_query("seal_roundtrip_join", _ROWS.format(r=_R, s=_S))
+def _(spark, d):
+    """Both relations rest sealed in chunks of 1000 rows."""
+    return joins.join_rows("RHO", *(sealing.unseal_chunks(sealing.seal_chunks(x, KEY), KEY) for x in _pk_fk(spark, d)))
+
+
+@_query("seal_rows_roundtrip_join", _ROWS.format(r=_R, s=_S))
 def _(spark, d):
     return joins.join_rows("RHO", *(sealing.unseal(sealing.seal(x, KEY), KEY) for x in _pk_fk(spark, d)))
 
 
+@_query("sealed_bytes", f"SELECT CAST(sum(length(key || ':' || payload) + 28) AS BIGINT) AS bytes FROM ({_S})")
+def _(spark, d):
+    """What is sealed, and 28 bytes a blob for nonce and tag."""
+    return sealing.sealed_bytes(sealing.seal(_pk_fk(spark, d)[1], KEY))
+
+
+@_query("seal_chunk_sizes", f"SELECT count(*) AS n, true AS fit FROM ({_S})")
+def _(spark, d):
+    """Chunks of 2 kB: none has more rows than that, and all rows are there."""
+    chunks = sealing.seal_chunks(_pk_fk(spark, d)[1], KEY, sealing.rows_of_chunk(2))
+    opened = sealing.unseal_chunks(chunks, KEY)
+    return opened.agg(F.count("*").alias("n")).join(chunks.agg(F.bool_and(F.octet_length("sealed") <= 256 * 24 + 28).alias("fit")))
+
+
+@_query("store_scan", _R)
+def _(spark, d):
+    store = Store(spark, KEY)
+    store.create("orders", _pk_fk(spark, d)[0])
+    return store.scan("orders")
+
+
+@_query("store_write", f"SELECT k - 1 AS slot, k <> 1 AS is_real, CASE WHEN k = 1 THEN 0 WHEN k <= 10 THEN -k + 1 ELSE key END AS key, CASE WHEN k <= 10 THEN 0 ELSE payload END AS payload FROM (SELECT *, row_number() OVER (ORDER BY key, payload) AS k FROM ({_R})) UNION ALL SELECT n + range, false, 0, 0 FROM range(100), (SELECT count(*) AS n FROM orders)")
+def _(spark, d):
+    """Slots 0 to 9 written anew, slot 0 emptied; spare slots stay."""
+    store = Store(spark, KEY)
+    store.create("orders", _pk_fk(spark, d)[0])
+    store.write("orders", spark.range(10).select(F.col("id").alias("slot"), (F.col("id") > 0).alias("is_real"), (-F.col("id")).alias("key"), F.lit(0).cast("long").alias("payload")))
+    return store.scan("orders", real=False)
+
+
 @_query("sealed_join", f"SELECT r.key, r.payload FROM ({_R}) r JOIN ({_S}) s ON r.key = s.key")
 def _(spark, d):
     return sealing.unseal(pipeline.sealed_join(*(sealing.seal(x, KEY) for x in _pk_fk(spark, d)), KEY), KEY)

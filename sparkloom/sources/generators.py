@@ -88,9 +88,19 @@ def zipf_keys(spark: SparkSession, n: int, most: int, theta: float, seed: int =
     first = cdf.select((F.col("rank") + 1).alias("rank"), F.col("cdf").alias("before"))
     steps = cdf.join(first, "rank", "left").select("rank", F.coalesce("before", F.lit(0.0)).alias("low"), F.when(F.col("rank") == most, F.lit(1.0)).otherwise(F.col("cdf")).alias("high"))
     steps = steps.withColumn("slice", F.explode(F.sequence(F.floor(F.col("low") * slices), F.least(F.floor(F.col("high") * slices), F.lit(slices - 1).cast("long")))))
-    stride = next(x for x in range(most // 2 + 1, 2 * most + 2) if _coprime(x, most))
     draws = spark.range(n).select("id", F.rand(seed).alias("u")).withColumn("slice", F.floor(F.col("u") * slices))
-    return draws.join(steps, (draws["slice"] == steps["slice"]) & (F.col("low") <= F.col("u")) & (F.col("u") < F.col("high"))).select((F.col("rank") * stride % most + 1).cast("long").alias("key"), F.col("id").alias("payload"))
+    return draws.join(steps, (draws["slice"] == steps["slice"]) & (F.col("low") <= F.col("u")) & (F.col("u") < F.col("high"))).select(zipf_key(F.col("rank"), most).alias("key"), F.col("id").alias("payload"))
+
+
+def zipf_key(rank: F.Column, most: int) -> F.Column:
+    """The key of a rank, by a permutation of 1 .. most."""
+    stride = next(x for x in range(most // 2 + 1, 2 * most + 2) if _coprime(x, most))
+    return (rank * stride % most + 1).cast("long")
+
+
+def shuffled(rel: DataFrame, seed: int = 11111) -> DataFrame:
+    """The relation's rows in a random physical order, the same for a seed: dealt out at random, and sorted so within."""
+    return rel.withColumn("u", F.xxhash64(F.lit(seed), "key", "payload")).repartition("u").sortWithinPartitions("u").drop("u")
 
 
 def _coprime(a: int, b: int) -> bool:

@@ -1 +1 @@
-"""Streams: the workloads here are bounded relations, so this part has no operators; a bounded relation is joined by sparkloom.operators.joins."""
+"""Joins whose S side arrives in chunks."""
