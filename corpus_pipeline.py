@@ -40,7 +40,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality_rules), ("line dedup", lines), ("near duplicates", near_duplicates), ("decontamination", decontamination), ("tokens", tokens)]
 
-#: The robust estimate and the tokens cannot be expressed in SQL: tests/test_pipeline.py holds run() against a brute-force
+#: The robust estimate and the tokens cannot be expressed in SQL: tests/llm/test_pipeline.py holds run() against a brute-force
 #: version, stage by stage, on a fixture too small for the robust estimate.
 ORACLE_SQL = None
 
