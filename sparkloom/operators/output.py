@@ -15,7 +15,7 @@ def write_pairs(rows: DataFrame, path: str) -> None:
 
 def write_relation(rel: DataFrame, path: str) -> None:
     """A relation as text: in each file a header, and a line "key, payload" for each row."""
-    rel.select(F.col("key").alias("#KEY"), F.col("payload").alias("VAL")).write.mode("overwrite").option("sep", ", ").option("quote", "").csv(path, header=True)
+    rel.select(F.col("key").alias("#KEY"), F.col("payload").alias("VAL")).write.mode("overwrite").option("sep", ", ").option("comment", "~").csv(path, header=True)
 
 
 def write_keys(rel: DataFrame, path: str) -> None:
