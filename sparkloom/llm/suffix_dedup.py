@@ -19,12 +19,13 @@ doc_id, or earlier in the same document. Strings are judged on the input.
 
 Scale: a row of some 30 bytes per anchor is shuffled once; of a leaf's occurrences in about a MB of text only the earliest
 goes to its fingerprint's task, the others are repeats already and are dealt out evenly; contexts only for leaves that have others beside them,
-picked in the second scan by a Bloom filter of fixed size (a false positive only ships a context more). Whole copies
+picked in the second scan by a Bloom filter (a false positive only ships a context more), or by a join where that would
+take more than 32 MB. A document's spans are made one where they touch before they meet its text. Whole copies
 of a text are set aside first by digest, so that a text which a third of the rows repeat makes no hot anchors. Leaves
 stream from sorted partitions.
 
 Edge cases: null and empty texts have no bytes and stay; texts shorter than LENGTH stay; a null doc_id counts as the
-largest; equal rows (doc_id and text) are one document and get the same result; rows with one doc_id and different
+largest; one very long text is held by one task, in pieces of a MB but for the text itself; equal rows (doc_id and text) are one document and get the same result; rows with one doc_id and different
 texts are told apart by their checksum, the smaller first at equal starts; other columns are ignored by `report` and
 carried by `dedup`, where bytes that no longer form a character are dropped.
 """
@@ -32,6 +33,7 @@ carried by `dedup`, where bytes that no longer form a character are dropped.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import zlib
 from collections.abc import Iterator
 
@@ -41,7 +43,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bloom, in_bloom, slices, stored
+from .common import MOST_BLOOM, arrow_schema, bloom, bloom_room, in_bloom, slices, stored
 
 LENGTH, GRAM = 100, 32
 REACH = LENGTH - GRAM  # bytes before an anchor that a window around it can hold
@@ -97,8 +99,8 @@ def anchors(data: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]
     return all_, np.concatenate(prints)[first]
 
 
-def _anchored(part: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, np.ndarray, np.ndarray]]:
-    """(doc, text, checksum, places, fingerprints) of each text with anchors."""
+def _anchored(part: pa.RecordBatch) -> Iterator[tuple[int, int, bytes, int, np.ndarray, np.ndarray]]:
+    """(row, doc, text, checksum, places, fingerprints) of each text with anchors."""
     raws = part["text"].cast(pa.binary()).to_pylist()
     ends = np.cumsum([len(r) for r in raws])
     place, print_ = anchors(np.frombuffer(b"".join(raws), np.uint8), ends)
@@ -106,7 +108,7 @@ def _anchored(part: pa.RecordBatch) -> Iterator[tuple[int, bytes, int, np.ndarra
     for k, (doc, raw) in enumerate(zip(part["doc"].to_pylist(), raws, strict=True)):
         a, b = cuts[k], cuts[k + 1]
         if b > a:
-            yield doc, raw, zlib.crc32(raw), place[a:b] - (ends[k] - len(raw)), print_[a:b]
+            yield k, doc, raw, zlib.crc32(raw), place[a:b] - (ends[k] - len(raw)), print_[a:b]
 
 
 def _where(place: np.ndarray, checksum: int) -> np.ndarray:
@@ -135,7 +137,7 @@ def anchor_rows(rows: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch, _PIECE):
                 prints, contexts, docs, places = [], [], [], []
-                for doc, raw, checksum, place, print_ in _anchored(part):
+                for _, doc, raw, checksum, place, print_ in _anchored(part):
                     prints.append(print_.view(np.int64))
                     contexts += [xxhash.xxh3_64_intdigest(raw[max(0, p - REACH) : p + LENGTH], min(p, REACH)) for p in place.tolist()]
                     docs.append(np.full(len(place), doc, np.int64))
@@ -195,32 +197,32 @@ def _named(doc: np.ndarray, place: np.ndarray) -> np.ndarray:
         return (doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) ^ (place.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F))
 
 
-def asked_for(asked: DataFrame) -> np.ndarray:
+def asked_for(asked: DataFrame, room: int) -> np.ndarray:
     """The Bloom filter of (doc, place)."""
-    schema = arrow_schema("name long")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array(_named(batch["doc"].to_numpy(), batch["place"].to_numpy()).view(np.int64))], schema=schema)
-
-    return bloom(asked.select("doc", "place").mapInArrow(run, "name long"))
+    return bloom(asked.select("doc", "place"), room, lambda batch: _named(batch["doc"].to_numpy(), batch["place"].to_numpy()))
 
 
 _CONTEXTS = "print long, doc long, place long, before binary, after binary"
 
 
-def contexts(rows: DataFrame, filter_: np.ndarray) -> DataFrame:
-    """(print, doc, place, before, after) of the anchors that the filter holds; before is reversed."""
-    schema, sent = arrow_schema(_CONTEXTS), rows.sparkSession.sparkContext.broadcast(filter_)
+def contexts(rows: DataFrame, asked: DataFrame, n: int) -> DataFrame:
+    """(print, doc, place, before, after) of the n anchors asked for, (doc, place), and perhaps a few more; before is reversed.
+
+    As long as a Bloom filter of what is asked for fits MOST_BLOOM the texts are read again and the filter picks the
+    anchors; beyond that each document's places are joined to its text."""
+    schema = arrow_schema(_CONTEXTS)
+    sent = rows.sparkSession.sparkContext.broadcast(asked_for(asked, bloom_room(n))) if 8 * n <= MOST_BLOOM else None
+    if sent is None:
+        own = asked.groupBy("doc", F.col("place").bitwiseAND(F.lit(0xFFFFFFFF)).alias("checksum")).agg(F.collect_list("place").alias("places"))
+        rows = rows.withColumn("checksum", F.crc32("text")).join(own, ["doc", "checksum"]).select("doc", "text", "places")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = sent.value
         for batch in batches:
             for part in slices(batch, _PIECE):
                 out: list[list] = [[], [], [], [], []]
-                for doc, raw, checksum, place, print_ in _anchored(part):
+                for k, doc, raw, checksum, place, print_ in _anchored(part):
                     where = _where(place, checksum)
-                    ok = np.flatnonzero(in_bloom(held, _named(np.full(len(place), doc, np.int64), where)))
+                    ok = np.flatnonzero(in_bloom(sent.value, _named(np.full(len(place), doc, np.int64), where)) if sent else np.isin(where, part["places"][k].values.to_numpy()))
                     for p, w, f in zip(place[ok].tolist(), where[ok].tolist(), print_[ok].view(np.int64).tolist(), strict=True):
                         for x, v in zip(out, (f, doc, w, raw[max(0, p - REACH) : p][::-1], raw[p : p + LENGTH]), strict=True):
                             x.append(v)
@@ -364,8 +366,9 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     rows = _rows(docs).where(F.octet_length("text") >= LENGTH).withColumn("checksum", F.crc32("text")).join(sent, ["doc", "checksum"], "left_anti").select("doc", "text")
     found = stored(leaves(anchor_rows(rows)), "leaves")
     asked = found.where("not repeat")
-    around = contexts(rows, asked_for(asked))
-    many = stored(asked.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("print"), "many")
+    n_asked = asked.count()
+    around = contexts(rows, asked, n_asked)
+    many = stored(asked.groupBy("print").agg(F.count("*").alias("n")).where(F.col("n") > LEAVES).select("print"), "many", n_asked // LEAVES + 1)
     if n_many := many.count():
         around = stored(around, "contexts")
         many = F.broadcast(many) if n_many <= BROADCAST_IDS else many
@@ -378,31 +381,56 @@ def spans(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     return again.unionByName(tree), whole
 
 
-def _merged(flat: list[int], n: int) -> list[tuple[int, int]]:
-    """Maximal runs of [start, end, start, end ...] within n bytes."""
-    x = np.array(flat, np.int64).reshape(-1, 2)
-    x = x[np.argsort(x[:, 0], kind="stable")]
-    top = np.minimum(np.maximum.accumulate(x[:, 1]), n)
-    new = np.flatnonzero(np.r_[True, x[1:, 0] > top[:-1]])
-    return list(zip(x[new, 0].tolist(), top[np.r_[new[1:] - 1, len(x) - 1]].tolist(), strict=True))
+def merged(spans_: DataFrame) -> DataFrame:
+    """(doc, checksum, runs): each document's spans (doc, checksum, start, end) made one where they touch, as [start, end, start, end ...] by start."""
+    schema = arrow_schema("doc long, checksum long, runs array<long>")
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = None  # the last document and its runs, which may go on
+
+        def rows(docs: list[tuple[int, int]], runs: list[np.ndarray]) -> pa.RecordBatch:
+            lists = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, runs)]), pa.int32()), pa.array(np.concatenate(runs)))
+            return pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in zip(*docs, strict=True)), lists], schema=schema)
 
-def _kept(raw: bytes, runs: list[tuple[int, int]]) -> bytes:
-    out, last = [], 0
-    for a, b in runs:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            doc, checksum, start, end = (batch[c].to_numpy() for c in ("doc", "checksum", "start", "end"))
+            edges = np.flatnonzero(np.r_[True, (doc[1:] != doc[:-1]) | (checksum[1:] != checksum[:-1]), True])
+            docs, runs = [], []
+            for a, b in itertools.pairwise(edges.tolist()):
+                who, x, top = (int(doc[a]), int(checksum[a])), start[a:b], np.maximum.accumulate(end[a:b])
+                if held and held[0] == who:  # its last run may reach into these
+                    x, top = np.r_[held[1][::2], x], np.maximum.accumulate(np.r_[held[1][1::2], end[a:b]])
+                elif held:
+                    docs.append(held[0])
+                    runs.append(held[1])
+                new = np.flatnonzero(np.r_[True, x[1:] > top[:-1]])
+                held = who, np.stack([x[new], top[np.r_[new[1:] - 1, len(x) - 1]]], 1).ravel()
+            if docs:
+                yield rows(docs, runs)
+        if held:
+            yield rows([held[0]], [held[1]])
+
+    return spans_.repartition("doc", "checksum").sortWithinPartitions("doc", "checksum", "start").mapInArrow(run, "doc long, checksum long, runs array<long>")
+
+
+def _kept(raw: bytes, runs: list[int] | None) -> tuple[bytes, int, int]:
+    """What stays, how much goes, and in how many runs."""
+    out, last, gone, n = [], 0, 0, len(raw)
+    for a, b in zip((runs or ())[::2], (runs or ())[1::2], strict=True):
         out.append(raw[last:a])
-        last = b
-    return b"".join([*out, raw[last:]])
+        last = min(b, n)
+        gone += last - a
+    return b"".join([*out, raw[last:]]), gone, len(runs or ()) // 2
 
 
-def _with_spans(docs: DataFrame, *keep: str) -> DataFrame:
-    """docs (what is kept, and text) with spans: [start, end, start, end ...] or null; a whole copy has one span over all."""
+def _with_runs(docs: DataFrame, *keep: str) -> DataFrame:
+    """docs (what is kept, and text) with runs: [start, end, start, end ...] or null; a whole copy has one run over all."""
     found, whole = spans(docs)
-    # a run of anchors repeats most bytes several times; spans of one document that overlap are merged before they meet the text
-    flat = found.unionByName(whole.select("doc", "checksum", F.lit(0).cast("long").alias("start"), F.lit(LAST_ID).alias("end")))
-    per = flat.groupBy("doc", "checksum").agg(F.flatten(F.collect_list(F.array("start", "end"))).alias("spans"))
+    runs = merged(found.unionByName(whole.select("doc", "checksum", F.lit(0).cast("long").alias("start"), F.lit(1 << 40).alias("end"))))
     rows = docs.select(*keep, F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).withColumn("checksum", F.crc32("text"))
-    return rows.join(per, ["doc", "checksum"], "left").select(*keep, "text", "spans")
+    return rows.join(runs, ["doc", "checksum"], "left").select(*keep, "text", "runs")
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -413,25 +441,25 @@ def report(docs: DataFrame) -> DataFrame:
         for batch in batches:
             for part in slices(batch):
                 out = []
-                for d, raw, flat in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist(), strict=True):
-                    runs = _merged(flat, len(raw)) if flat else []
-                    out.append((d, len(raw), sum(b - a for a, b in runs), len(runs), hashlib.sha256(_kept(raw, runs)).hexdigest()))
+                for d, raw, runs in zip(part["doc_id"].to_pylist(), part["text"].cast(pa.binary()).to_pylist(), part["runs"].to_pylist(), strict=True):
+                    kept, gone, n = _kept(raw, runs)
+                    out.append((d, len(raw), gone, n, hashlib.sha256(kept).hexdigest()))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), schema.types, strict=True)], schema=schema)
 
-    return _with_spans(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "spans").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return _with_runs(docs, "doc_id").select(F.col("doc_id").cast("long").alias("doc_id"), "text", "runs").mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def dedup(docs: DataFrame) -> DataFrame:
     """docs without the repeated bytes; n_chars (if there) follows the text, the other columns stay."""
     names = docs.columns
     packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), F.col("doc_id"), F.col("text"))
-    rows = _with_spans(packed, "rest").select("rest", "text", "spans")
+    rows = _with_runs(packed, "rest").select("rest", "text", "runs")
     out = rows.select("rest", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch):
-                text = [_kept(r, _merged(s, len(r))).decode(errors="ignore") if s else r.decode() for r, s in zip(part["text"].cast(pa.binary()).to_pylist(), part["spans"].to_pylist(), strict=True)]
+                text = [_kept(raw, runs)[0].decode(errors="ignore") for raw, runs in zip(part["text"].cast(pa.binary()).to_pylist(), part["runs"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([part["rest"], pa.array(text, pa.string())], names=["rest", "text"])
 
     return rows.mapInArrow(run, out.schema).select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in names])
