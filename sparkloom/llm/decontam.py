@@ -5,34 +5,37 @@ that ends at each word. A word is hit if it lies in an occurrence of a window: `
 or a whole item of fewer words. So a span is removed that exceeds the length limit (`window` words of an item) or the
 coverage limit (all of a shorter item).
 
-Scale: documents are read once and never shuffled. The benchmark is the small side; it is cut by size into shards of at
-most SHARD_BYTES of text, each of which is broadcast and becomes one automaton per Python worker; a larger benchmark
-means more passes over the documents inside the same stage, not a larger broadcast.
+Scale: the benchmark is the small side; it is cut by size into shards of at most SHARD_BYTES of text, each of which is
+broadcast and becomes one automaton per Python worker. With one shard documents are read once and never shuffled. A
+larger benchmark means a pass over the documents for each shard, one after another, not a larger broadcast or worker;
+what the passes find, by digests of the text, is written and then joined to the texts.
 
 Edge cases: null or empty texts have no words; items without words are never hit; equal item_ids count once, a null
-item_id as the empty string; repeated documents each get their row; columns other than doc_id and text are ignored by
-`scan` and carried by `decontaminate`.
+item_id as the empty string; repeated documents each get their row; an empty benchmark hits nothing; a very long text is
+held by one task, one text at a time; columns other than doc_id and text are ignored by `scan` and carried by
+`decontaminate`, which keeps null texts null.
 """
 
 from __future__ import annotations
 
 import hashlib
+import itertools
 import pickle
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import StringType, StructField, StructType
+from pyspark.sql.types import StructType
 
-from .common import arrow_schema, slices, texts
+from .common import arrow_schema, slices, stored, texts
 
 #: Words of the text after A-Z are lower-cased, on UTF-8 bytes: [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ on characters.
 WORD = re.compile(rb"[0-9a-z\x80-\xff]+")
 WINDOW = 10
 #: Text of a shard; its automaton takes some 60 times as much in a worker.
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 
 
 class Automaton:
@@ -154,16 +157,18 @@ def _automaton(shard: bytes, name: str, window: int) -> Automaton:
     return _BUILT[name]
 
 
-def shards(benchmark: DataFrame, most: int = SHARD_BYTES) -> Iterator[list[tuple[str, str]]]:
+def shards(benchmark: DataFrame, most: int | None = None) -> Iterator[list[tuple[str, str]]]:
     """The items in shards of about `most` bytes, one after another; only one is on the driver at a time."""
+    most = most or SHARD_BYTES
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("")).alias("item_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     total = items.agg(F.sum(F.octet_length("text"))).head()[0] or 0
     n = max(1, -(-total // most))
+    items = stored(items.repartition(n, "item_id", "text"), "benchmark") if n > 1 else items
     for k in range(n):
         yield [tuple(r) for r in (items if n == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == k)).collect()]
 
 
-def _merge(runs: list[list[int]]) -> list[list[int]]:
+def _merge(runs: Iterable[list[int]]) -> list[list[int]]:
     out: list[list[int]] = []
     for a, b in sorted(runs):
         if out and a <= out[-1][1]:
@@ -173,42 +178,76 @@ def _merge(runs: list[list[int]]) -> list[list[int]]:
     return out
 
 
-def _pass(docs: DataFrame, shard: list[tuple[str, str]], window: int, kept: list[str]) -> DataFrame:
-    """docs (text, runs, items and what is kept), with what this shard's automaton finds added to runs and items."""
+Hits = tuple[list[int], list[str], int]
+
+
+def _scanner(docs: DataFrame, shard: list[tuple[str, str]], window: int) -> Callable[[str | None], Hits]:
+    """For a text: its runs (start, end, start, end ...), the items with occurring windows, and its number of words."""
     packed = pickle.dumps(shard)
-    name = hashlib.sha256(packed + bytes([window % 256])).hexdigest()
+    name = hashlib.sha256(packed).hexdigest() + str(window)
     sent = docs.sparkSession.sparkContext.broadcast(packed)
-    out = docs.select(*kept, "text", "runs", "items", "n_words")
+
+    def scan(text: str | None) -> Hits:
+        a, words = _automaton(sent.value, name, window), WORD.findall((text or "").encode().lower())
+        runs, items = a.scan(words)
+        return [x for r in runs for x in r], sorted(a.ids[k] for k in items), len(words)
+
+    return scan
+
+
+def _hits(docs: DataFrame, shard: list[tuple[str, str]], window: int) -> DataFrame:
+    """(t1, t2, runs, items) of the texts that hold a window of the shard's items."""
+    find, schema = _scanner(docs, shard, window), "t1 long, t2 long, runs array<int>, items array<string>"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        a = _automaton(sent.value, name, window)
         for batch in batches:
             for part in slices(batch):
-                runs, items, count = [], [], []
-                for text, before, had in zip(part["text"].cast(pa.binary()).to_pylist(), part["runs"].to_pylist(), part["items"].to_pylist(), strict=True):
-                    words = WORD.findall(text.lower())
-                    spans, found = a.scan(words)
-                    count.append(len(words))
-                    if before:
-                        spans = _merge([*spans, *zip(before[::2], before[1::2], strict=True)])
-                    runs.append([x for s in spans for x in s])
-                    items.append(sorted({*had, *(a.ids[k] for k in found)}) if found or had else [])
-                new = {"runs": pa.array(runs, pa.list_(pa.int32())), "items": pa.array(items, pa.list_(pa.string())), "n_words": pa.array(count, pa.int64())}
-                yield pa.RecordBatch.from_arrays([new.get(f, part[f] if f not in new else None) for f in part.schema.names], names=part.schema.names)
-
-    return out.mapInArrow(run, out.schema)
-
-
-def _found(docs: DataFrame, benchmark: DataFrame, window: int, kept: list[str]) -> DataFrame:
-    out = docs.withColumns({"runs": F.array().cast("array<int>"), "items": F.array().cast("array<string>"), "n_words": F.lit(0).cast("long")})
-    for shard in shards(benchmark):
-        out = _pass(out, shard, window, kept)
-    return out
+                found = [find(t) for t in part["text"].to_pylist()]
+                rows = part.append_column("runs", pa.array([x[0] for x in found], pa.list_(pa.int32()))).append_column("items", pa.array([x[1] for x in found], pa.list_(pa.string())))
+                yield rows.select(["t1", "t2", "runs", "items"]).filter(pa.array([bool(x[0]) for x in found]))
+
+    return docs.mapInArrow(run, schema)
+
+
+def _by_shards(docs: DataFrame, parts: Iterable[list[tuple[str, str]]], window: int) -> DataFrame:
+    """docs with hits, [(runs, items)] of all shards or null. Each shard has a job of its own, so that a task never holds more
+    than one automaton; what it finds, by digests of the text, is written, and meets the texts in one join."""
+    docs, hits = docs.withColumns({"t1": F.xxhash64("text"), "t2": F.xxhash64(F.lit(1), "text")}), None
+    for shard in parts:
+        new = stored(_hits(docs.select("t1", "t2", "text"), shard, window), "hits")
+        hits = new if hits is None else hits.unionByName(new)
+    # a text that many rows have is found by a shard many times, and always the same
+    per = hits.groupBy("t1", "t2").agg(F.collect_set(F.struct("runs", "items")).alias("hits"))
+    return docs.join(per, ["t1", "t2"], "left").drop("t1", "t2")
+
+
+def _together(text: str | None, hits: list[dict] | None) -> Hits:
+    runs = _merge([r[i], r[i + 1]] for r in (x["runs"] for x in hits or ()) for i in range(0, len(r), 2))
+    return [x for r in runs for x in r], sorted({i for x in hits or () for i in x["items"]}), len(WORD.findall((text or "").encode().lower()))
+
+
+def _found(docs: DataFrame, benchmark: DataFrame, window: int, made: str, result: Callable[..., tuple]) -> DataFrame:
+    """docs without text, with the columns (made: their schema) that result(text, runs, items, n_words) gives."""
+    parts, keep = shards(benchmark), [c for c in docs.columns if c != "text"]
+    first, second = next(parts), next(parts, None)
+    find = _scanner(docs, first, window) if second is None else None
+    rows = docs if find else _by_shards(docs, itertools.chain((first, second), parts), window)
+    schema, types = StructType([*(docs.schema[c] for c in keep), *StructType.fromDDL(made)]), arrow_schema(made).types
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch):
+                texts_ = part["text"].to_pylist()
+                hits = map(find, texts_) if find else map(_together, texts_, part["hits"].to_pylist())
+                out = [result(t, *h) for t, h in zip(texts_, hits, strict=True)]
+                yield pa.RecordBatch.from_arrays([*(part[c] for c in keep), *(pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True))], names=schema.names)
+
+    return rows.mapInArrow(run, schema)
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """doc_id, n_words, runs (hit word runs: start, end, start, end ...), items (ids with occurring windows, sorted as strings)."""
-    return _found(texts(docs), benchmark, window, ["doc_id"]).select("doc_id", "n_words", "runs", "items")
+    return _found(texts(docs), benchmark, window, "n_words long, runs array<int>, items array<string>", lambda text, runs, items, n: (n, runs, items))
 
 
 def removed(text: str, runs: list[int]) -> str:
@@ -225,18 +264,9 @@ def removed(text: str, runs: list[int]) -> str:
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """docs with the hit spans cut out of text; the other columns stay, n_chars (if there) follows the text."""
     names = docs.columns
-    own = {"text": "text", "runs": "runs", "items": "items", "n_words": "n_words"}
-    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), F.col("text").isNull().alias("none"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    got = _found(packed, benchmark, window, ["rest", "none"]).select("rest", "none", *own)
-
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in slices(batch):
-                clean = [None if none else removed(t, r) if r else t for t, r, none in zip(part["text"].to_pylist(), part["runs"].to_pylist(), part["none"].to_pylist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([part["rest"], pa.array(clean, pa.string())], names=["rest", "text"])
-
-    cleaned = got.select("rest", "none", "text", "runs").mapInArrow(cut, StructType([got.schema["rest"], StructField("text", StringType())]))
-    return cleaned.select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in names])
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in names if c != "text"]).alias("rest"), F.col("text").cast("string").alias("text"))
+    clean = _found(packed, benchmark, window, "clean string", lambda text, runs, items, n: (removed(text, runs) if runs else text,))
+    return clean.select(*[F.col("clean").alias(c) if c == "text" else F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in names])
 
 
 def report(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
