@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_schema, bloom, components, in_bloom, slices, stored
+from .common import arrow_schema, bloom, bloom_room, components, in_bloom, slices, stored
 
 N = 5
 SHORT, BLOCK_TOKENS = 24, 2_500_000
@@ -165,7 +165,8 @@ def frequent(docs: DataFrame) -> np.ndarray:
         tokens, n = np.unique(np.concatenate(held), return_counts=True)
         return pa.RecordBatch.from_arrays([pa.array(tokens.view(np.int64)), pa.array(n, pa.int64())], schema=schema)
 
-    return bloom(_texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).select("token"))
+    found = stored(_texts(docs).mapInArrow(run, "token long, n long").groupBy("token").agg(F.sum("n").alias("n")).where(F.col("n") > SHORT).select("token"), "frequent")
+    return bloom(found, bloom_room(found.count()))
 
 
 def prefix(tokens: np.ndarray, hot: np.ndarray) -> np.ndarray:
@@ -371,17 +372,18 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def _streamed_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[int], list[np.ndarray]]]:
-    """The blocks of a partition sorted by block and doc_id; repeated doc_ids come once."""
-    block, ids, sets = None, [], []
+    """The blocks of a partition sorted by block, doc_id and tokens; equal sets of one doc_id come once."""
+    block, ids, sets, last = None, [], [], b""
     for part in (p for batch in batches for p in slices(batch)):
         for b, d, raw in zip(part["block"].to_pylist(), part["doc_id"].to_pylist(), part["tokens"].to_pylist(), strict=True):
             if b != block:
                 if ids:
                     yield block, ids, sets
                 block, ids, sets = b, [], []
-            if not ids or ids[-1] != d:
+            if not ids or ids[-1] != d or last != raw:
                 ids.append(d)
                 sets.append(np.frombuffer(raw, np.uint64))
+                last = raw
     if ids:
         yield block, ids, sets
 
@@ -397,7 +399,7 @@ def _search_blocks(sets: DataFrame) -> DataFrame:
             if out := block_links(np.array(ids), sets):
                 yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*out, strict=True)], schema=arrow_schema(_LINKS))
 
-    return sets.repartition("block").sortWithinPartitions("block", "doc_id").mapInArrow(run, _LINKS)
+    return sets.repartition("block").sortWithinPartitions("block", "doc_id", "tokens").mapInArrow(run, _LINKS)
 
 
 def _search_parts(parts: DataFrame, queries: DataFrame) -> DataFrame:
@@ -426,9 +428,9 @@ def _search_parts(parts: DataFrame, queries: DataFrame) -> DataFrame:
 
 def _large_blocks(docs: DataFrame, blocks: DataFrame) -> DataFrame:
     """Links of blocks too large for one task: hubs contract them, then the nodes outside the main group query every part. blocks: (block, doc_id, parts)."""
-    sets = stored(_sets(docs, blocks.select("block", "doc_id")).join(blocks.select("block", "parts").distinct(), "block").dropDuplicates(["block", "doc_id"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "large-sets")
+    sets = stored(_sets(docs, blocks.select("block", "doc_id")).join(blocks.select("block", "parts").distinct(), "block").dropDuplicates(["block", "doc_id", "tokens"]).withColumn("part", F.pmod(F.xxhash64("doc_id"), F.col("parts"))), "large-sets")
     parts, links, every = sets.drop("parts"), None, F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part")
-    outside = sets.select("block", "doc_id", "n_parts" if "n_parts" in sets.columns else F.col("parts").alias("n_parts"))
+    outside = sets.select("block", "doc_id")
     for _ in range(3):  # a hub a block and round: the smallest node that is still outside
         hub = outside.groupBy("block").agg(F.min("doc_id").alias("doc_id"))
         ask = sets.join(hub, ["block", "doc_id"], "left_semi").select("block", "doc_id", "tokens", every)
@@ -461,6 +463,11 @@ def nodes_and_groups(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
     large = sized.where("parts > 1").select("block", "doc_id", "parts")
     if not large.isEmpty():
         links = links.unionByName(_large_blocks(docs, large))
+    # rows with one doc_id and different texts are linked by their name
+    several = stored(known.groupBy("doc_id").agg(F.min("d1").alias("low"), F.max("d1").alias("high")).where("low < high").select("doc_id"), "several")
+    if not several.isEmpty():
+        same = known.join(several, "doc_id", "left_semi").join(named, ["d1", "d2"]).select("doc_id", "node")
+        links = links.unionByName(same.groupBy("doc_id").agg(F.min("node").alias("a")).join(same, "doc_id").select("a", F.col("node").alias("b")).where("a <> b"))
     return all_.select("doc_id", "n", "d1", "d2"), components(links, "links")
 
 
@@ -481,7 +488,8 @@ def report(docs: DataFrame) -> DataFrame:
 def first_of_group(docs: DataFrame) -> DataFrame:
     """docs with one document of each group, the smallest doc_id; all columns stay."""
     gone = stored(groups(docs).where("component_id <> doc_id").select("doc_id").distinct(), "gone")
-    return docs.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*docs.columns)
+    packed = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("doc"), F.col("doc_id").cast("long").alias("doc_id"))
+    return packed.join(F.broadcast(gone) if gone.count() <= BROADCAST_IDS else gone, "doc_id", "left_anti").select(*[F.col(f"doc.`{c}`") for c in docs.columns])
 
 
 ORACLE = r"""
