@@ -28,7 +28,7 @@ from itertools import combinations_with_replacement
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import ROWS_PER_FILE, stored
 
 WORDS = r"[^\x20\x09-\x0D]+"
 H, MIN_GROUP = 0.75, 50
@@ -108,8 +108,8 @@ def _moments(rows: DataFrame, keys: list[str], names: tuple[str, ...]) -> DataFr
 
 
 def _per_group(df: DataFrame, tag: str) -> DataFrame:
-    """df, a row or a few a group, stored; broadcast to what it is joined to if it is small."""
-    df = stored(df, tag)
+    """df, a row or a few a group, stored in a few files; broadcast to what it is joined to if it is small."""
+    df = stored(df, tag, 4 * ROWS_PER_FILE)
     return F.broadcast(df) if df.count() <= BROADCAST_GROUPS else df
 
 
@@ -158,7 +158,7 @@ def judged(docs: DataFrame) -> DataFrame:
     rows = stored(counts(docs).withColumns({"own": F.concat(F.lit("2"), F.to_json(F.struct("lang", "source"))), "wider": F.concat(F.lit("1"), F.to_json(F.struct("lang")))}), "quality")
     tested = rows.where("not base_failed")
     # a row a source: by which estimate it is judged, and to which ones its rows contribute
-    sizes = stored(tested.groupBy("own", "wider").agg(F.count("*").alias("n")), "sizes")
+    sizes = stored(tested.groupBy("own", "wider").agg(F.count("*").alias("n")), "sizes", 4 * ROWS_PER_FILE)
     langs = sizes.groupBy("wider").agg(F.sum("n").alias("n_lang"), F.min("n").alias("least"))
     total, least = langs.agg(F.coalesce(F.sum("n_lang"), F.lit(0)), F.coalesce(F.min("n_lang"), F.lit(0))).head()
     by = F.when(F.col("n") >= MIN_GROUP, F.col("own")).when(F.col("n_lang") >= MIN_GROUP, F.col("wider")).when(F.lit(total >= MIN_GROUP), F.lit("0"))
