@@ -6,19 +6,23 @@ documents hold loses its lines everywhere but in the smallest doc_id that holds
 State: the table of (key, document) pairs is exact; the reference counts (key, refs, owner, last) are its aggregate; a
 cuckoo filter per shard of the keys holds those that are shared. A batch probes the filters first, so that only lines
 that may be shared (and a few in ten thousand others) meet the exact table, which decides. `LineStore` keeps the state
-between batches: inserting documents and deleting them changes counts, owners and filters, so dedup stays reversible.
-A shard's filter that gets too full is built anew from the exact counts, and all are when the keys need more shards.
+between batches: inserting documents and deleting them changes counts, owners and filters of the keys they touch, so
+dedup stays reversible; `report` and `dedup` insert their documents into a store of their own. A shard's filter that gets
+too full is built anew from the exact counts, and all are when the keys need more shards.
 
 Scale: keys are 128-bit digests; counting is a pre-aggregated group-by, so a line that a third of the documents hold is
 no hot task; the join with the exact table has one row a key on one side, whose hot partitions AQE splits. Filters take
-2.6 bytes a shared key and are broadcast up to FILTER_BYTES together; beyond that the exact join runs without them.
+2.6 bytes a shared key and are broadcast up to FILTER_BYTES together; beyond that the exact join runs without them. A very
+long text is held by one task.
 
 Edge cases: null or empty texts are one empty line; a null doc_id counts as the largest one; rows with one doc_id are
-one document, though each gets its row; other columns are ignored by `report` and carried by `dedup`.
+one document, though each gets its row; an empty table gives no rows; other columns are ignored by `report` and carried by
+`dedup`, which keeps null texts null.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import itertools
 from collections.abc import Iterator
@@ -35,6 +39,8 @@ from .common import arrow_schema, slices, stored
 MIN_CHARS = 10
 #: Keys of a shard, and bytes of filters that may be broadcast.
 SHARD_KEYS, FILTER_BYTES = 1 << 20, 64 << 20
+#: Segments of a store's log before they are made one.
+MOST_SEGMENTS = 16
 LAST_ID = (1 << 63) - 1
 _STRIP = b" \t\n\x0b\x0c\r"
 
@@ -218,17 +224,6 @@ def probe(pairs: DataFrame, tables: dict[int, bytes]) -> DataFrame:
     return pairs.mapInArrow(run, pairs.schema)
 
 
-def _drops(pairs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc, drops): the keys that a document loses, as k1, k2, k1, k2 ..."""
-    keys = shared.count()
-    if keys and 2.7 * 2 * keys <= FILTER_BYTES:
-        n = _shards(keys)
-        tables = {r.shard: bytes(r.table) for r in filters(shared, n).collect()}  # bounded by FILTER_BYTES
-        pairs = probe(pairs, {k: tables.get(k, Cuckoo.of_size(0).pack()) for k in range(n)})
-    lost = pairs.join(shared.select("k1", "k2", "owner"), ["k1", "k2"]).where("owner < doc")
-    return lost.groupBy("doc").agg(F.flatten(F.collect_list(F.array("k1", "k2"))).alias("drops"))
-
-
 def _cut(text: bytes, drops: list[int] | None) -> tuple[bytes, int, int]:
     """The text that stays, its lines before, and those dropped."""
     lines = text.split(b"\n")
@@ -240,9 +235,9 @@ def _cut(text: bytes, drops: list[int] | None) -> tuple[bytes, int, int]:
 
 
 def find_drops(docs: DataFrame) -> DataFrame:
-    """(doc, drops) of one batch."""
-    pairs = stored(line_pairs(docs), "line-pairs")
-    return _drops(pairs, stored(reference_counts(pairs).where("owner < last"), "shared-lines"))
+    """(doc, drops) of one batch, by a store of its own."""
+    store = LineStore(docs.sparkSession, 1)
+    return store.drops(store.insert(docs))
 
 
 def report(docs: DataFrame) -> DataFrame:
@@ -278,45 +273,104 @@ def dedup(docs: DataFrame, drops: DataFrame | None = None) -> DataFrame:
     return rows.mapInArrow(run, out.schema).select(*[F.col("text") if c == "text" else F.length("text").cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"rest.`{c}`") for c in names])
 
 
+_COUNTS = ["k1", "k2", "refs", "owner", "last"]
+
+
 class LineStore:
-    """Line dedup over batches: insert documents, delete them again, and dedup any documents against the state."""
+    """Line dedup over batches: insert documents, delete them again, and dedup any documents against the state.
+
+    The state is a log of segments, to which a batch only adds. Inserted documents add their pairs, and a delta of the
+    counts: sums, minima and maxima of the segments' rows make a key's counts. Deleted documents add their ids, and new
+    counts of the keys they held, which stand for all rows before them. Only keys that a batch touches are counted, and
+    change filters. After MOST_SEGMENTS the log is made one segment again, so a key has that many rows at most."""
 
     def __init__(self, spark: SparkSession, shards: int = 16):
-        self.spark, self.shards = spark, shards
-        self.pairs = spark.createDataFrame([], "k1 long, k2 long, doc long")
-        self.counts = spark.createDataFrame([], "k1 long, k2 long, refs long, owner long, last long")
+        self.spark, self.shards, self.shared, self.epoch = spark, shards, 0, 0
+        self._pairs: list[DataFrame] = []
+        self._counts: list[DataFrame] = []
+        self._gone: list[DataFrame] = []
         self.filters = spark.createDataFrame([], "shard int, table binary")
 
-    def insert(self, docs: DataFrame) -> None:
-        """Add documents; those whose id is there already are replaced."""
-        new = stored(line_pairs(docs).distinct(), "insert")
-        ids = _rows(docs).select("doc").distinct()
-        self._change(self.pairs.join(ids, "doc", "left_anti").select("k1", "k2", "doc").unionByName(new))
+    def _segment(self, rows: DataFrame, tag: str, anew: bool = False) -> DataFrame:
+        return stored(rows.withColumns({"epoch": F.lit(self.epoch), "anew": F.lit(anew)}), tag)
+
+    def pairs(self) -> DataFrame:
+        """(k1, k2, doc) of the documents that are in."""
+        all_ = _union(self._pairs) if self._pairs else self.spark.createDataFrame([], "k1 long, k2 long, doc long, epoch int")
+        if self._gone:
+            gone = _union(self._gone).groupBy("doc").agg(F.max("epoch").alias("gone"))
+            all_ = all_.join(gone, "doc", "left").where("gone is null or gone <= epoch")
+        return all_.select("k1", "k2", "doc")
+
+    def counts(self, keys: DataFrame | None = None) -> DataFrame:
+        """(k1, k2, refs, owner, last) of the keys that documents hold, or of some of them."""
+        if not self._counts:
+            return self.spark.createDataFrame([], "k1 long, k2 long, refs long, owner long, last long")
+        rows = _union(self._counts)
+        rows = rows if keys is None else rows.join(keys.select("k1", "k2").distinct(), ["k1", "k2"], "left_semi")
+        if len(self._counts) > 1:
+            rows = rows.groupBy("k1", "k2").agg(F.max(F.when(F.col("anew"), F.col("epoch"))).alias("since"), F.collect_list(F.struct("epoch", "refs", "owner", "last")).alias("x"))
+            rows = rows.withColumn("x", F.filter("x", lambda x: x["epoch"] >= F.coalesce("since", F.lit(0))))
+            rows = rows.select("k1", "k2", F.aggregate("x", F.lit(0).cast("long"), lambda n, x: n + x["refs"]).alias("refs"), F.array_min("x.owner").alias("owner"), F.array_max("x.last").alias("last"))
+        return rows.where("refs > 0").select(*_COUNTS)
+
+    def insert(self, docs: DataFrame) -> DataFrame:
+        """Add documents; those whose id is there already are replaced. Returns their pairs."""
+        if self._pairs:
+            self.delete(_rows(docs).select(F.col("doc").alias("doc_id")).distinct())
+        self.epoch += 1
+        new = self._segment(line_pairs(docs).distinct(), "line-pairs")
+        delta = self._segment(reference_counts(new.select("k1", "k2", "doc")), "line-counts")
+        self._change(delta, new)
+        return new.select("k1", "k2", "doc")
 
     def delete(self, ids: DataFrame) -> None:
-        """Remove the documents with these doc_ids: their lines stop counting, and what they owned passes on."""
-        gone = ids.select(F.col("doc_id").cast("long").alias("doc")).distinct()
-        self._change(self.pairs.join(gone, "doc", "left_anti").select("k1", "k2", "doc"))
-
-    def _change(self, pairs: DataFrame) -> None:
-        self.pairs = stored(pairs, "pairs")
-        counts = stored(reference_counts(self.pairs), "counts")
-        now, was = (x.where("owner < last").select("k1", "k2") for x in (counts, self.counts))
-        if (need := _shards(now.count())) > self.shards:
-            self.shards = max(need, 2 * self.shards)  # doubled, so that all filters are seldom built anew
-            tables = filters(now, self.shards)
+        """Remove the documents with these doc_ids (null: the one without): their lines stop counting, and what they owned passes on."""
+        ids = ids.select(F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST_ID)).alias("doc")).distinct()
+        touched = stored(self.pairs().join(ids, "doc", "left_semi").select("k1", "k2").distinct(), "touched")
+        if touched.isEmpty():  # documents without lines that count are in no table
+            return
+        self.epoch += 1
+        self._gone.append(self._segment(ids, "gone"))
+        left = reference_counts(self.pairs().join(touched, ["k1", "k2"], "left_semi"))
+        self._change(self._segment(touched.join(left, ["k1", "k2"], "left").select("k1", "k2", F.coalesce("refs", F.lit(0)).alias("refs"), "owner", "last"), "line-counts", anew=True))
+
+    def _change(self, segment: DataFrame, new: DataFrame | None = None) -> None:
+        """Add a segment of counts (and of pairs), and bring the filters up to date with the keys in it."""
+        before = self._counts
+        was = self.counts(segment).where("owner < last").select("k1", "k2") if before else None
+        self._counts = [*before, segment]
+        self._pairs += [] if new is None else [new]
+        now = self.counts(segment).where("owner < last").select("k1", "k2")
+        if was is None:
+            change = now.withColumn("add", F.lit(True))
+        else:
+            was, now = stored(was, "was"), stored(now, "now")
+            change = now.join(was, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False)))
+        change = stored(change, "shared-lines")
+        self.shared += change.agg(F.coalesce(F.sum(F.when(F.col("add"), 1).otherwise(-1)), F.lit(0))).head()[0]
+        if was is None or _shards(self.shared) > self.shards:
+            if (need := _shards(self.shared)) > self.shards:
+                self.shards = max(need, 2 * self.shards)  # doubled, so that all filters are seldom built anew
+            self.filters = stored(filters(change.select("k1", "k2") if was is None else self._shared_keys(), self.shards), "filters")
         else:
-            tables = self._updated(now, was)
-        self.filters, self.counts = stored(tables, "filters"), counts
+            self.filters = stored(self._updated(change), "filters")
+        if len(self._counts) > MOST_SEGMENTS:
+            self.epoch += 1
+            self._pairs, self._counts = [self._segment(self.pairs(), "line-pairs")], [self._segment(self.counts(), "line-counts")]
+            self._gone = []
+
+    def _shared_keys(self) -> DataFrame:
+        return self.counts().where("owner < last").select("k1", "k2")
 
-    def _updated(self, now: DataFrame, was: DataFrame) -> DataFrame:
-        """The filters after the shared keys have changed; one that has no room is built anew from the keys of now."""
+    def _updated(self, change: DataFrame) -> DataFrame:
+        """The filters after keys have become shared (add) or no longer are; one that has no room is built anew from the exact counts."""
         n = self.shards
-        change = now.join(was, ["k1", "k2"], "left_anti").withColumn("add", F.lit(True)).unionByName(was.join(now, ["k1", "k2"], "left_anti").withColumn("add", F.lit(False))).withColumn("shard", _shard(n))
+        empty = Cuckoo.of_size(0).pack()
 
         def update(key: tuple, old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
             out, add = new[~new["add"]], new[new["add"]]
-            table = Cuckoo.unpack(old["table"].iloc[0]) if len(old) else Cuckoo.of_size(len(add))
+            table = Cuckoo.unpack(old["table"].iloc[0] if len(old) else empty)
             table.delete(out["k1"].to_numpy(), out["k2"].to_numpy())
             try:
                 packed = table.insert(add["k1"].to_numpy(), add["k2"].to_numpy()).pack() if table.has_room(len(add)) else None
@@ -324,20 +378,31 @@ class LineStore:
                 packed = None
             return pd.DataFrame({"shard": [key[0]], "table": [packed]})
 
-        tables = stored(self.filters.groupBy("shard").cogroup(change.groupBy("shard")).applyInPandas(update, "shard int, table binary"), "changed-filters")
-        full = [r.shard for r in tables.where("table is null").select("shard").collect()]  # one number a shard
-        if not full:
-            return tables
-        return tables.where("table is not null").unionByName(filters(now.where(_shard(n).isin(full)), n))
+        shards = [r.shard for r in change.select(_shard(n).alias("shard")).distinct().collect()]  # one number a shard
+        touched, rest = self.filters.where(F.col("shard").isin(shards)), self.filters.where(~F.col("shard").isin(shards))
+        tables = stored(touched.groupBy("shard").cogroup(change.withColumn("shard", _shard(n)).groupBy("shard")).applyInPandas(update, "shard int, table binary"), "changed-filters")
+        full = [r.shard for r in tables.where("table is null").select("shard").collect()]
+        done = rest.unionByName(tables.where("table is not null"))
+        return done.unionByName(filters(self._shared_keys().where(_shard(n).isin(full)), n)) if full else done
 
-    def dedup(self, docs: DataFrame) -> DataFrame:
-        """The documents, which must be inserted, without the lines that other documents own."""
-        pairs = line_pairs(docs).distinct()
+    def drops(self, pairs: DataFrame) -> DataFrame:
+        """(doc, drops): the keys that documents lose, of their pairs, as k1, k2, k1, k2 ..."""
         if (self.filters.agg(F.sum(F.length("table"))).head()[0] or 0) <= FILTER_BYTES:
             tables = {r.shard: bytes(r.table) for r in self.filters.collect()}  # bounded by FILTER_BYTES
             pairs = probe(pairs, {k: tables.get(k, Cuckoo.of_size(0).pack()) for k in range(self.shards)})
-        lost = pairs.join(self.counts, ["k1", "k2"]).where("owner < doc")
-        return dedup(docs, lost.groupBy("doc").agg(F.flatten(F.collect_list(F.array("k1", "k2"))).alias("drops")))
+        if len(self._counts) > 1:
+            pairs = stored(pairs, "probed")
+        counts = self.counts(pairs if len(self._counts) > 1 else None).where("owner < last")
+        lost = pairs.join(counts.select("k1", "k2", "owner"), ["k1", "k2"]).where("owner < doc")
+        return lost.groupBy("doc").agg(F.flatten(F.collect_list(F.array("k1", "k2"))).alias("drops"))
+
+    def dedup(self, docs: DataFrame) -> DataFrame:
+        """The documents, which must be inserted, without the lines that other documents own."""
+        return dedup(docs, self.drops(line_pairs(docs).distinct()))
+
+
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
 
 
 ORACLE = r"""
