@@ -11,12 +11,13 @@ Scale: texts are scanned once and normalised once; parts are cut out of the norm
 length some known licence has are hashed, and of those only what the join finds goes into the one shuffle, besides a
 row of ids per document. Runs are found by where paragraphs start and end: for each known length, the starts moved by it
 are intersected with the ends, in proportion to the paragraphs; with more than MOST_LENGTHS lengths each pair of a
-start and an end is looked at. The known digests (known_texts, or a parameter table) are the small side, some dozen rows
-of 64 bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests, where a notice that many documents hold is
+start and an end is looked at. The known digests (known_texts, or a parameter table) are the small side, some thousand
+rows of 64 bytes; a table of more than BROADCAST_ROWS is joined by shuffling digests, where a notice that many documents hold is
 left to the planner's skew join.
 
 Edge cases: null and empty texts, and texts without letters or digits, have no licence; equal lines of a text count once;
-repeated rows each get a row; other columns are ignored; an empty table gives no rows and an empty registry no licences.
+repeated rows each get a row; a very long text is held by one
+task; other columns are ignored; an empty table gives no rows and an empty registry no licences.
 """
 
 from __future__ import annotations
@@ -48,26 +49,39 @@ THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLI
 _ISC_GRANT = "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"
 _ISC_REST = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."""
 
-#: Known texts: (identifier, text). Notices of one line, as they stand in documents, and short licences entire.
-REGISTRY = (
+#: Names of licences, fixed values: identifier, and what notices call it.
+NAMES = {
+    "0BSD": ("BSD Zero Clause License", "Zero-Clause BSD License"), "AGPL-3.0-only": ("GNU Affero General Public License, version 3", "GNU AGPL version 3"), "Apache-2.0": ("Apache License, Version 2.0", "Apache License 2.0", "Apache 2.0 License"),
+    "BSD-2-Clause": ("BSD 2-Clause License", "2-Clause BSD License", "Simplified BSD License"), "BSD-3-Clause": ("BSD 3-Clause License", "3-Clause BSD License", "New BSD License"), "BSL-1.0": ("Boost Software License, version 1.0", "Boost Software License 1.0"),
+    "CC0-1.0": ("CC0 1.0", "CC0 1.0 Universal", "Creative Commons Zero 1.0"), "EPL-2.0": ("Eclipse Public License, version 2.0", "Eclipse Public License 2.0"), "GPL-2.0-only": ("GNU General Public License, version 2", "GNU GPL version 2", "GPL version 2"),
+    "GPL-3.0-only": ("GNU General Public License, version 3", "GNU GPL version 3", "GPL version 3"), "ISC": ("ISC License",), "LGPL-2.1-only": ("GNU Lesser General Public License, version 2.1", "GNU LGPL version 2.1"), "LGPL-3.0-only": ("GNU Lesser General Public License, version 3", "GNU LGPL version 3"),
+    "MIT": ("MIT License", "MIT"), "MPL-2.0": ("Mozilla Public License, version 2.0", "Mozilla Public License 2.0"), "Unlicense": ("Unlicense",), "Zlib": ("zlib License",),
+    **{f"CC-{'-'.join(part)}-4.0": (f"CC {'-'.join(part)} 4.0", f"Creative Commons {words} 4.0 International License", f"Creative Commons {words} 4.0") for part, words in (
+        (("BY",), "Attribution"), (("BY", "SA"), "Attribution-ShareAlike"), (("BY", "NC"), "Attribution-NonCommercial"), (("BY", "ND"), "Attribution-NoDerivatives"), (("BY", "NC", "SA"), "Attribution-NonCommercial-ShareAlike"), (("BY", "NC", "ND"), "Attribution-NonCommercial-NoDerivatives"))},
+}
+#: How notices of one line name them, fixed values.
+SUBJECTS = ("", "This work is ", "This file is ", "This software is ", "This project is ", "This program is ", "This document is ", "The source code is ")
+VERBS = ("Licensed under ", "Released under ", "Distributed under ", "Available under ", "Made available under ")
+ARTICLES = ("", "the ", "a ", "the terms of the ")
+
+
+def notices() -> list[tuple[str, str]]:
+    """(identifier, text) of all notices that a subject, verb, article and name make, and of identifier lines."""
+    out = [(name, f"SPDX-License-Identifier: {name}") for name in NAMES]
+    return out + [(name, f"{s}{v.lower() if s else v}{a}{called}.") for name, all_ in NAMES.items() for called in all_ for s in SUBJECTS for v in VERBS for a in ARTICLES]
+
+
+#: Short licences entire, and the Apache licence's own notice: (identifier, text).
+SHORT_TEXTS = (
     ("MIT", _MIT),
     ("MIT", "The MIT License (MIT)\n\n" + _MIT),
     ("MIT", "MIT License\n\n" + _MIT),
     ("ISC", f"{_ISC_GRANT}, provided that the above copyright notice and this permission notice appear in all copies.\n\n{_ISC_REST}"),
     ("0BSD", f"{_ISC_GRANT}.\n\n{_ISC_REST}"),
     ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0. Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
-    ("Apache-2.0", "SPDX-License-Identifier: Apache-2.0"),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
-    ("MIT", "SPDX-License-Identifier: MIT"),
-    ("GPL-3.0-only", "This work is licensed under the GNU General Public License, version 3."),
-    ("GPL-3.0-only", "SPDX-License-Identifier: GPL-3.0-only"),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
-    ("CC0-1.0", "Released under CC0 1.0."),
 )
+#: Known texts without the full ones.
+REGISTRY = (*SHORT_TEXTS, *notices())
 
 #: Full texts, as (identifier)[+variant].txt. Those of the GPL family do not say whether later versions are granted.
 TEXTS = Path(__file__).parent / "license_texts"
@@ -162,7 +176,10 @@ def _looked_up(docs: DataFrame, known: DataFrame | None) -> DataFrame:
     parts = F.concat(every, own("text", F.array(F.col("joined"))), own("paragraph", F.col("paragraphs")), own("paragraph", runs), own("line", F.array_distinct(F.split("form", "\n"))))
     at = rows.select("row", "doc_id", F.explode(parts).alias("x")).select("row", "doc_id", "x.part", "x.digest")
     side = known.select("digest", "license")
-    return at.join(F.broadcast(side) if n <= BROADCAST_ROWS else side, "digest", "left").where("part = '' or license is not null").select("row", "doc_id", "part", "license", "digest")
+    # rows are named once: what is written before the first shuffle keeps its names when a lost task runs again
+    at = at.join(F.broadcast(side), "digest", "left") if n <= BROADCAST_ROWS else stored(at, "parts").join(side, "digest", "left")
+    found = at.where("part = '' or license is not null").select("row", "doc_id", "part", "license", "digest")
+    return stored(found, "notices") if n <= BROADCAST_ROWS else found
 
 
 def scan(docs: DataFrame, known: DataFrame | None = None) -> DataFrame:
@@ -187,8 +204,12 @@ def _oracle() -> str:
         form = f"replace({form}, {_sql(one)}, {_sql(other)})"
     for pattern, word in ((VERSION, "v"), (OTHER, ""), (HOLDER, r"copyright\1owner")):
         form = f"regexp_replace({form}, {_sql(pattern)}, {_sql(word)}, 'g')"
+    one = lambda words: ", ".join(f"({_sql(w)})" for w in words)
     return f"""
-WITH known AS (SELECT sha256(replace({form}, chr(10), '')) AS digest, min(license) AS license FROM (VALUES {", ".join(f"({_sql(a)}, {_sql(b)})" for a, b in REGISTRY)}) AS t(license, text) GROUP BY 1),
+WITH names(license, called) AS (VALUES {", ".join(f"({_sql(a)}, {_sql(b)})" for a, all_ in NAMES.items() for b in all_)}), s(s) AS (VALUES {one(SUBJECTS)}), v(v) AS (VALUES {one(VERBS)}), a(a) AS (VALUES {one(ARTICLES)}),
+texts(license, text) AS (VALUES {", ".join(f"({_sql(a)}, {_sql(b)})" for a, b in SHORT_TEXTS)} UNION ALL SELECT DISTINCT license, 'SPDX-License-Identifier: ' || license FROM names
+    UNION ALL SELECT license, s || v || a || called FROM names, s, v, a),
+known AS (SELECT sha256(replace({form}, chr(10), '')) AS digest, min(license) AS license FROM texts GROUP BY 1),
 d AS (SELECT row_number() OVER () AS r, doc_id, {form} AS form FROM (SELECT doc_id, coalesce(text, '') AS text FROM documents)),
 p AS (SELECT r, 'text' AS part, replace(form, chr(10), '') AS x FROM d
     UNION ALL SELECT r, 'paragraph', replace(unnest(regexp_split_to_array(form, '\\n\\n+')), chr(10), '') FROM d

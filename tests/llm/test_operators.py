@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import bpe, chat, decontam, jaccard, licenses, line_dedup, quality, secrets, suffix_dedup
 
@@ -91,13 +92,15 @@ class TestBpe:
         assert rows(bpe.decode(bpe.encode(docs, *where), *where))[4].data.decode() == texts[4]
 
 
-def test_decontaminate(spark, docs, texts, empty):
+@pytest.mark.parametrize("shard_bytes", [1 << 20, 300])
+def test_decontaminate(spark, docs, texts, empty, monkeypatch, shard_bytes):
+    monkeypatch.setattr(decontam, "SHARD_BYTES", shard_bytes)
     rng = random.Random(3)
     source = [t.split() for t in texts.values() if t and len(t.split()) > 30]
     items = [(i, " ".join(w[a : a + rng.choice([1, 3, 9, 10, 12, 25])]).upper() if i % 2 else " ".join(w[a : a + rng.choice([3, 10, 14])])) for i in range(25) for w in [rng.choice(source)] for a in [rng.randrange(20)]] + [(90, None), (91, "!!")]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
     words = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
-    got = rows(decontam.report(docs, benchmark))
+    got, cut = rows(decontam.report(docs, benchmark)), {}
     for d, t in texts.items():
         w, hit, found = words(t), set(), set()
         for i, x in items:
@@ -109,8 +112,12 @@ def test_decontaminate(spark, docs, texts, empty):
                     hit |= set(range(k, k + n))
                     found.add(str(i))
         assert tuple(got[d])[1:] == (len(w), len(hit), len(found), sha(",".join(sorted(found))), bool(hit)), d
-    clean = decontam.decontaminate(docs, benchmark)
-    assert clean.columns == docs.columns and clean.count() == len(texts)
+        at = list(re.finditer(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or "")))
+        gone = {c for i in hit for c in range(at[i].start(), at[i + 1].start() if i + 1 in hit else at[i].end())}
+        cut[d] = t if t is None else "".join(c for i, c in enumerate(t) if i not in gone)
+    named = docs.withColumnRenamed("row", "meta.url")
+    clean = decontam.decontaminate(named, benchmark)
+    assert clean.columns == named.columns and {r.doc_id: r.text for r in clean.collect()} == cut
     assert decontam.report(empty, benchmark).count() == 0
     assert not any(r.contaminated for r in decontam.report(docs, benchmark.limit(0)).collect())
 
@@ -129,6 +136,17 @@ def test_jaccard_groups(docs, texts, empty):
     got = rows(jaccard.report(docs))
     assert {d: (r.n_shingles, r.component_id) for d, r in got.items()} == {d: (len(sets[d]), group[d]) for d in sets}
     assert jaccard.report(empty).count() == 0
+    named = docs.withColumnRenamed("row", "meta.url")
+    kept = jaccard.first_of_group(named)
+    assert kept.columns == named.columns and sorted(r.doc_id for r in kept.collect()) == sorted(d for d in group if group[d] == d)
+
+
+def test_jaccard_of_repeated_ids(spark):
+    rng = random.Random(8)
+    a, b, c = (" ".join(str(rng.random()) for _ in range(40)) for _ in range(3))
+    made = [(5, a), (5, b), (5, a), (7, a + " x"), (9, b + " y"), (3, b + " z"), (11, c), (None, a), (None, a), (12, c + " w"), (13, None), (13, None)]
+    got = Counter((r.doc_id, r.component_id) for r in jaccard.report(spark.createDataFrame(made, "doc_id long, text string")).collect())
+    assert got == {(5, 3): 3, (7, 3): 1, (9, 3): 1, (3, 3): 1, (11, 11): 1, (12, 11): 1, (None, None): 2, (13, 13): 2}
 
 
 def test_search_finds_all_partners():
@@ -147,18 +165,6 @@ def test_large_blocks_give_the_same_groups(docs, monkeypatch):
     assert {d: r.component_id for d, r in rows(jaccard.report(docs)).items()} == before
 
 
-def test_secrets(spark, empty):
-    token = "q8ZrT1xVb93LmWcYp0KdJs7UaEhNf5Gi2oQX46RyBtvMzHSe"
-    texts = {1: 'éa Password = "abcdefgh1" x', 2: "secret=token:abcdefgh api-key api_key:12345678", 3: "AKIA" + "A" * 12 + " AKIAAAA", 4: "f" * 32 + " " + "a" * 31, 5: f"x {token} y", 6: "the-quick-brown-fox-jumps-over-the-lazy-dog-1", 7: None}
-    got = rows(secrets.report(spark.createDataFrame([(d, t, 1) for d, t in texts.items()], "doc_id long, text string, spans int")))
-    patterns = (("assign", re.compile(r"""(?ai:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 8), ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile(r"[0-9a-f]+"), lambda m: len(m[0]) >= 32))
-    for d, t in texts.items():
-        found = sorted((m.start(), k, m.end()) for k, (_, p, ok) in enumerate(patterns) for m in p.finditer(t or "") if ok(m))
-        assert got[d].base_sha256 == sha(",".join(f"{patterns[k][0]}:{a}:{b}" for a, k, b in found)), d
-    assert got[5].spans == f"random:2:{2 + len(token)}" and not got[6].spans
-    assert secrets.report(empty).count() == 0
-
-
 def test_line_dedup(spark, docs, texts, empty):
     key = lambda x: re.sub("[A-Z]", lambda m: m[0].lower(), x.strip(SPACES))
     held = {}
@@ -172,7 +178,9 @@ def test_line_dedup(spark, docs, texts, empty):
         kept = [x for x in lines if not gone(d, x)]
         assert tuple(got[d])[1:] == (len(lines), len(lines) - len(kept), sha("\n".join(kept)))
     assert line_dedup.report(empty).count() == 0
-    assert line_dedup.dedup(docs).columns == docs.columns
+    clean = line_dedup.dedup(docs)
+    assert clean.columns == docs.columns
+    assert {r.doc_id: r.text for r in clean.collect()} == {d: t if t is None else "\n".join(x for x in t.split("\n") if not gone(d, x)) for d, t in texts.items()}
 
 
 def test_cuckoo_filter():
@@ -194,7 +202,7 @@ def _deduped(held):
     return out
 
 
-@pytest.mark.parametrize(("shard_keys", "filter_bytes"), [(1 << 20, 64 << 20), (5000, 64 << 20), (1 << 20, 0)])
+@pytest.mark.parametrize(("shard_keys", "filter_bytes"), [(1 << 20, 64 << 20), (5000, 0)])
 def test_line_store_beyond_its_first_filters(spark, monkeypatch, shard_keys, filter_bytes):
     monkeypatch.setattr(line_dedup, "SHARD_KEYS", shard_keys)
     monkeypatch.setattr(line_dedup, "FILTER_BYTES", filter_bytes)
@@ -215,6 +223,29 @@ def test_line_store_beyond_its_first_filters(spark, monkeypatch, shard_keys, fil
     assert (store.shards > 1) == (shard_keys == 5000)
 
 
+def test_line_store_is_a_rebuild_after_any_batches(spark, monkeypatch):
+    monkeypatch.setattr(line_dedup, "MOST_SEGMENTS", 3)
+    rng, held = random.Random(6), {}
+    frame = lambda made: spark.createDataFrame(list(made.items()), "doc_id long, text string")
+    store = line_dedup.LineStore(spark, shards=2)
+    for k in range(5):
+        if k % 3 == 2:
+            gone = rng.sample(sorted(held), 4) + [999]
+            store.delete(spark.createDataFrame([(d,) for d in gone], "doc_id long"))
+            held = {d: t for d, t in held.items() if d not in gone}
+        else:
+            batch = {d: "\n".join(f"Line {rng.randint(0, 40)} of a store" for _ in range(rng.randint(0, 12))) for d in rng.sample(range(30), 9)}
+            store.insert(frame(batch))
+            held |= batch
+        if k in (0, 1, 2):
+            continue
+        fresh = line_dedup.LineStore(spark, shards=2)
+        fresh.insert(frame(held))
+        state = lambda s: [Counter(map(tuple, x.collect())) for x in (s.pairs(), s.counts())]
+        assert state(store) == state(fresh) and store.shared == fresh.shared
+        assert {r.doc_id: r.text for r in store.dedup(frame(held)).collect()} == _deduped(held)
+
+
 def test_suffix_dedup(docs, texts, empty):
     raws = {d: (t or "").encode() for d, t in texts.items()}
     seen, gone = set(), {d: set() for d in raws}
@@ -237,10 +268,14 @@ def test_suffix_dedup_of_crowded_fingerprints(spark, docs, monkeypatch):
     made = [(d, " ".join(word() for _ in range(9)) + (short if d % 3 else long_) + rng.choice(["x" * 30, "y" * 40, ""]) + " ".join(word() for _ in range(9))) for d in range(5000, 5060)]
     made = spark.createDataFrame(made, "doc_id long, text string").repartition(4).unionByName(docs.select("doc_id", "text")).cache()
     want = rows(suffix_dedup.report(made))
-    monkeypatch.setattr(suffix_dedup, "LEAVES", 1)
-    got = rows(suffix_dedup.report(made))
     assert sum(x["n_removed"] > 0 for x in want.values()) > 30
-    assert got == want
+    monkeypatch.setattr(suffix_dedup, "LEAVES", 1)
+    assert rows(suffix_dedup.report(made)) == want
+    monkeypatch.setattr(suffix_dedup, "MOST_BLOOM", 0)
+    assert rows(suffix_dedup.report(made)) == want
+    clean = suffix_dedup.dedup(made.withColumn("a.b", F.lit(1)))
+    texts_ = {r.doc_id: r.text for r in clean.collect()}
+    assert clean.columns == ["doc_id", "text", "a.b"] and all(sha(t) == want[d].kept_sha256 for d, t in texts_.items() if (t or "").isascii())
 
 
 def test_suffix_dedup_of_equal_rows(spark):
@@ -385,6 +420,29 @@ def test_full_licenses_among_paragraphs(spark, monkeypatch, broadcast_rows):
     assert got == {d: want for d, (_, want) in texts.items()}
 
 
+def test_nulls_and_repeated_rows(spark):
+    line, words = "a line of more than ten characters", "one two three four five six seven eight nine ten"
+    made = [(None, line), (None, line), (2, line), (2, line), (None, None), (3, words), (3, words), (None, words), (4, "")]
+    docs = spark.createDataFrame([(*x, 1) for x in made], "doc_id long, text string, `a.b` int")
+    benchmark = spark.createDataFrame([(None, words), (1, None)], "item_id long, text string")
+    got = Counter((r.doc_id, r.n_words, r.n_hit, r.n_items) for r in decontam.report(docs, benchmark).collect())
+    assert got == {(None, 7, 0, 0): 2, (2, 7, 0, 0): 2, (None, 0, 0, 0): 1, (3, 10, 10, 1): 2, (None, 10, 10, 1): 1, (4, 0, 0, 0): 1}
+    got = Counter((r.doc_id, r.n_lines, r.n_dropped) for r in line_dedup.report(docs).collect())
+    assert got == {(None, 1, 1): 3, (2, 1, 0): 2, (None, 1, 0): 1, (3, 1, 0): 2, (4, 1, 0): 1}
+    got = Counter((r.doc_id, r.n_notices) for r in licenses.report(docs.unionByName(spark.createDataFrame([(8, "Released under the ISC Licence", 1)] * 2, docs.schema))).collect())
+    assert got == {(None, 0): 4, (2, 0): 2, (3, 0): 2, (4, 0): 1, (8, 1): 2}
+    got = Counter((r.doc_id, r.n_bytes, r.n_removed) for r in suffix_dedup.report(docs).collect())
+    assert got == {(None, len(line), 0): 2, (2, len(line), 0): 2, (None, 0, 0): 1, (3, len(words), 0): 2, (None, len(words), 0): 1, (4, 0, 0): 1}
+
+
+def test_chat_edges(spark):
+    turns = [(None, 0, "user", "a"), (None, 1, "assistant", None), (5, None, "user", "x"), (5, 1, "assistant", "y"), (5, 1, "assistant", "y")]
+    chats = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, segments int")
+    got = {r.conv_id: r for r in chat.report(chats).collect()}
+    assert {c: (r.n_turns, r.loss_chars, r.valid) for c, r in got.items()} == {None: (2, 0, True), 5: (3, 2, False)}
+    assert chat.report(chats.where("false")).count() == 0
+
+
 def test_chat(spark):
     turns = [(1, 0, "user", "### a </turn> \\h \\"), (1, 1, "assistant", "######\\b"), (2, 0, "assistant", "x"), (3, 0, None, None), (4, 1, "assistant", "b"), (4, 0, "user", "a"), (4, 1, "assistant", "b")]
     rows_ = spark.createDataFrame([(*t, 1) for t in turns], "conv_id long, turn long, role string, text string, valid int")
