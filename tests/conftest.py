@@ -10,10 +10,11 @@ os.environ["PYTHONPATH"] = os.pathsep.join(filter(None, (ROOT, os.environ.get("P
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     from pyspark.sql import SparkSession
 
-    session = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
+    shared, warehouse = (str(tmp_path_factory.mktemp(x)) for x in ("shared", "warehouse"))
+    session = SparkSession.builder.master("local[4]").config("spark.checkpoint.dir", shared).config("spark.sql.warehouse.dir", warehouse).config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").config("spark.sql.session.timeZone", "UTC").getOrCreate()
     session.sparkContext.setLogLevel("ERROR")
     yield session
     session.stop()
