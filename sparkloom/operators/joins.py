@@ -112,13 +112,12 @@ def sort_expand_align(r: DataFrame, s: DataFrame, parts: int = 16) -> DataFrame:
     """Tag, count each key's rows on either side, expand each row by the other side's count, and align copies by place. Rows of
     a key and side are numbered in `parts` parts, by payload, whose counts shift the numbers, so that no hot key is one task's."""
     both = r.select("key", "payload", F.lit(0).alias("tid")).unionByName(s.select("key", "payload", F.lit(1).alias("tid"))).withColumn("part", F.pmod(F.xxhash64("payload"), F.lit(parts)))
-    one = F.struct("tid", "part", "n")
-    sizes = both.groupBy("key", "tid", "part").agg(F.count("*").alias("n")).groupBy("key").agg(F.collect_list(one).alias("x"))  # 2 * parts rows a key at most
-    total = lambda keep: F.aggregate(F.filter("x", keep), F.lit(0).cast("long"), lambda a, x: a + x["n"])
-    by_key = sizes.withColumns({"h": total(lambda x: x["tid"] == 0), "w": total(lambda x: x["tid"] == 1)}).where("h > 0 and w > 0")
-    known = by_key.select("key", "h", "w", F.explode(F.transform("x", lambda y: F.struct(y["tid"].alias("tid"), y["part"].alias("part"), total(lambda x: (x["tid"] == y["tid"]) & (x["part"] < y["part"])).alias("before")))).alias("y")).select("key", "h", "w", "y.*")
+    in_parts = lambda tid: F.array(*[F.count(F.when((F.col("tid") == tid) & (F.col("part") == k), 1)) for k in range(parts)])
+    total = lambda counts: F.aggregate(counts, F.lit(0).cast("long"), lambda a, n: a + n)
+    by_key = both.groupBy("key").agg(in_parts(0).alias("hs"), in_parts(1).alias("ws")).select("*", total(F.col("hs")).alias("h"), total(F.col("ws")).alias("w")).where("h > 0 and w > 0")
     within = F.row_number().over(Window.partitionBy("key", "tid", "part").orderBy("payload")) - 1
-    sized = both.withColumn("within", within).join(known, ["key", "tid", "part"]).withColumn("i", F.col("before") + F.col("within"))
+    before = total(F.slice(F.when(F.col("tid") == 0, F.col("hs")).otherwise(F.col("ws")), F.lit(1), F.col("part").cast("int")))
+    sized = both.withColumn("within", within).join(by_key, "key").withColumn("i", before + F.col("within")).drop("hs", "ws")
     copies = expand(sized.withColumn("weight", F.when(F.col("tid") == 0, F.col("w")).otherwise(F.col("h"))), "weight")
     place = F.when(F.col("tid") == 0, F.col("i") * F.col("w") + F.col("copy")).otherwise(F.col("copy") * F.col("w") + F.col("i"))
     placed = copies.withColumn("place", place)
