@@ -93,10 +93,19 @@ def give_back() -> None:
         pass
 
 
+def let(value: Column, f: Callable[[Column], Column]) -> Column:
+    """f(value) with the value computed once, however often f uses it."""
+    return F.get(F.transform(F.array(value), f), F.lit(0))
+
+
 def running(x: Column, op: Callable[[Column, Column], Column]) -> Column:
     """op (associative) over the beginnings of an array, in rounds that double the reach of each."""
-    reaches = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda r: r < F.size(x))
-    return F.aggregate(reaches, x, lambda done, r: F.transform(done, lambda v, i: F.when(i >= r, op(v, F.get(done, i - r))).otherwise(v)))
+
+    def rounds(x: Column) -> Column:
+        reaches = F.filter(F.array(*[F.lit(1 << k) for k in range(31)]), lambda r: r < F.size(x))
+        return F.aggregate(reaches, x, lambda done, r: F.transform(done, lambda v, i: F.when(i >= r, op(v, F.get(done, i - r))).otherwise(v)))
+
+    return let(x, rounds)
 
 
 def components(edges: DataFrame, tag: str = "components", most_rounds: int = 60) -> DataFrame:

@@ -28,7 +28,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import running, stored
+from .common import let, running, stored
 
 #: Fixed patterns, in the order of kinds.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -53,10 +53,13 @@ LENGTHS, BINS = (20, 28, 40, 64), 60
 
 def _found(text: Column, pattern: str) -> Column:
     """[struct(start, end, hit)]: where a pattern matches, from the pieces between its matches."""
-    pieces, hits = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = running(F.zip_with(F.slice(pieces, 1, F.size(hits)), hits, lambda p, h: F.length(p) + F.length(h)), lambda a, b: a + b)
-    found = F.zip_with(ends, hits, lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
-    return F.when(F.rlike(text, F.lit(pattern)), found).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
+    both = F.struct(F.split(text, pattern, -1).alias("pieces"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("hits"))
+
+    def places(x: Column) -> Column:
+        ends = running(F.zip_with(F.slice(x["pieces"], F.lit(1), F.size(x["hits"])), x["hits"], lambda p, h: F.length(p) + F.length(h)), lambda a, b: a + b)
+        return F.zip_with(ends, x["hits"], lambda e, h: F.struct((e - F.length(h)).alias("start"), e.alias("end"), h.alias("hit")))
+
+    return F.when(F.rlike(text, F.lit(pattern)), let(both, places)).otherwise(F.array().cast("array<struct<start:int,end:int,hit:string>>"))
 
 
 def _spans(hits: Column, kind: int) -> Column:
