@@ -224,3 +224,11 @@ def test_shuffled_keeps_the_rows(spark):
     rel = generators.primary_keys(spark, 100)
     assert Counter(map(tuple, generators.shuffled(rel).collect())) == Counter(map(tuple, rel.collect()))
     assert [r.key for r in generators.shuffled(rel).collect()] != [r.key for r in rel.collect()]
+
+
+def test_padded_rows_make_no_dummies(spark):
+    got = joins.join_rows("padded", _relation(spark, R), _relation(spark, S))
+    assert Counter(map(tuple, got.collect())) == Counter((k, min(p for j, p in R if j == k), q) for k, q in S if k in dict(R))
+    assert "Join" in _plan(got) and "Generate" not in _plan(got) and "Union" not in _plan(got)
+    dummies = [tuple(x) for x in joins.padded(_relation(spark, R), _relation(spark, S), 2).where("not is_real").collect()]
+    assert Counter(dummies) == {(False, 0, None, None, None): 3, (False, 1, None, None, None): 3}
