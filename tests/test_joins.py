@@ -9,7 +9,7 @@ import pytest
 from sparkloom.functions.relation import row_ids
 from sparkloom.operators import index, joins, output, partition, sealing, sorted_tables
 from sparkloom.operators.store import Store, Tampered
-from sparkloom.plans import workload
+from sparkloom.plans import queries, workload
 from sparkloom.plans.memory import lambert_w, plan, plan_chunks
 from sparkloom.sources import generators
 from sparkloom.streaming import probe
@@ -232,3 +232,16 @@ def test_padded_rows_make_no_dummies(spark):
     assert "Join" in _plan(got) and "Generate" not in _plan(got) and "Union" not in _plan(got)
     dummies = [tuple(x) for x in joins.padded(_relation(spark, R), _relation(spark, S), 2).where("not is_real").collect()]
     assert Counter(dummies) == {(False, 0, None, None, None): 3, (False, 1, None, None, None): 3}
+
+
+def _tables(spark, folder, **tables):
+    for name, df in tables.items():
+        df.write.parquet(f"{folder}/{name}.parquet")
+    return str(folder)
+
+
+def test_real_rows_query_makes_no_dummies(spark, tmp_path):
+    d = _tables(spark, tmp_path, orders=spark.createDataFrame([(k, 100 + k) for k in range(4000)], "o_orderkey long, o_custkey long"), lineitem=spark.createDataFrame([(k * 7, k) for k in range(900)], "l_orderkey long, l_suppkey long"))
+    got = queries.QUERIES["join_real_rows"](spark, d)
+    assert Counter(map(tuple, got.collect())) == Counter((k * 7, 100 + k * 7, k) for k in range(900) if k * 7 < 4000)
+    assert "Join" in _plan(got) and "Generate" not in _plan(got) and "Union" not in _plan(got)
