@@ -270,3 +270,16 @@ def test_blocked_output_of_many_blocks_is_its_sql(spark, tmp_path):
 def test_blocked_output_keeps_matches_without_payload(spark):
     got = joins.blocked_output(_relation(spark, [(0, None), (1, 2)]), _relation(spark, [(0, 5), (3, 6)]), 1)
     assert Counter(map(tuple, got.collect())) == {(True, 0, 0, None, 5): 1, (False, 0, None, None, None): 1, (False, 1, None, None, None): 2}
+
+
+def test_padded_output_of_many_chunks_is_its_sql(spark, tmp_path):
+    orders = spark.range(1875 * 65).selectExpr("id AS o_orderkey", "id % 100 AS o_custkey")
+    d = _tables(spark, tmp_path, orders=orders, lineitem=spark.createDataFrame([(0, 1), (0, 2), (121_874, 3), (121_875, 4)], "l_orderkey long, l_suppkey long"))
+    assert _same_as_sql(spark, "join_padded_output", d) == 4 * 65
+
+
+def test_dummies_are_made_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(joins, "PIECE_ROWS", 3)
+    r, s = [(k, -k) for k in range(10)], [(k % 13, k) for k in range(50)]
+    want = Counter((True, c, k, -k, q) if k < 10 and k // 4 == c else (False, c, None, None, None) for k, q in s for c in range(3))
+    assert Counter(map(tuple, joins.padded(_relation(spark, r), _relation(spark, s), 4).collect())) == want
