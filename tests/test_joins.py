@@ -283,3 +283,11 @@ def test_dummies_are_made_in_pieces(spark, monkeypatch):
     r, s = [(k, -k) for k in range(10)], [(k % 13, k) for k in range(50)]
     want = Counter((True, c, k, -k, q) if k < 10 and k // 4 == c else (False, c, None, None, None) for k, q in s for c in range(3))
     assert Counter(map(tuple, joins.padded(_relation(spark, r), _relation(spark, s), 4).collect())) == want
+
+
+def test_dummies_are_slots_of_a_range(spark):
+    r, s = [(k, -k) for k in range(12)], [(1, k) for k in range(30)] + [(9, 30), (99, 31)]  # chunk 0 has nearly all matches, chunk 1 none
+    got = joins.padded(_relation(spark, r), _relation(spark, s), 4)
+    assert Counter(map(tuple, got.collect())) == Counter((True, c, k, -k, q) if k < 12 and k // 4 == c else (False, c, None, None, None) for k, q in s for c in range(3))
+    plan = _plan(got.where("not is_real"))
+    assert "Range" in plan and "Generate" not in plan and "RoundRobinPartitioning" not in plan
